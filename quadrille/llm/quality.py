@@ -94,13 +94,14 @@ def rule_votes() -> dict[str, Column]:
     return {
         "word_length": vote(length.between(3, 9), (length < 2) | (length > 14)),
         "symbols": vote(symbols < 0.05, symbols > 0.2),
+        "symbol_chars": vote(share("n_symbols", "word_chars") < 0.01, share("n_symbols", "word_chars") > 0.03),
         "dup_lines": vote(dup < 0.1, dup > 0.4),
         "repeats": vote(repeat < 0.1, repeat > 0.2),
         "capitals": vote(upper < 0.25, upper > 0.5),
         "shouting": vote(bang < 0.05, bang > 0.2),
         "line_ends": vote(ends > 0.6, (ends < 0.1) & (F.col("n_lines") > 3)),
-        "short_words": vote(stops > 0.12, stops < 0.03),
-        "length": vote(F.col("n_words") >= 20, F.col("n_words") < 10),
+        "short_words": vote((stops > 0.12) | (F.col("n_words") < 40), stops < 0.03),
+        "length": vote(F.col("n_words") >= 10, F.col("n_words") < 10),
     }
 
 
@@ -111,7 +112,8 @@ def fit_accuracies(patterns: np.ndarray, weights: np.ndarray, rounds: int = 60)
     Beta-like pseudo counts keep every rule better than chance, which also fixes which class is the good one.
     """
     rules = patterns.shape[1]
-    prior, table = 0.85, np.tile(np.array([[0.4, 0.35, 0.25], [0.03, 0.12, 0.85]]), (rules, 1, 1))
+    # a bad text fails one or two rules and passes the others; a good one hardly fails any
+    prior, table = 0.85, np.tile(np.array([[0.3, 0.1, 0.6], [0.003, 0.057, 0.94]]), (rules, 1, 1))
     strength = max(1.0, 0.002 * weights.sum())
     base = table * strength
     onehot = np.stack([patterns == v for v in (-1, 0, 1)], axis=-1).astype(float)
