@@ -17,14 +17,27 @@ from pyspark.sql import functions as F
 from ._common import stage, within
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # of texts whose A-Z still stand
 BROADCAST_ROWS = 200_000
 
 
+def raw_terms(text: Column) -> Column:
+    """Terms of a text in order, letters as they are; none for null."""
+    return F.coalesce(F.array_remove(F.split(text, SEPARATORS, -1), ""), F.array().cast("array<string>"))
+
+
+def ascii_lower(term: Column) -> Column:
+    """A-Z lower-cased, other letters untouched; lower() does just that to plain ASCII, and faster."""
+    return F.when(F.octet_length(term) == F.length(term), F.lower(term)).otherwise(F.translate(term, UPPER, LOWER))
+
+
 def terms(text: Column) -> Column:
-    """Terms of a text, in order; none for null."""
-    clean = F.regexp_replace(F.translate(text, UPPER, LOWER), "^" + SEPARATORS + "|" + SEPARATORS + "$", "")
-    return F.when(F.length(clean) > 0, F.split(clean, SEPARATORS, -1)).otherwise(F.array().cast("array<string>"))
+    return F.transform(raw_terms(text), ascii_lower)
+
+
+def term_hash(term: Column) -> Column:
+    """A key for joins on longs. It folds all case, so equal terms have equal keys; what it brings together is compared after."""
+    return F.xxhash64(F.lower(term))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -33,9 +46,11 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def corpus_frequencies(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """How often each term of vocabulary (term) occurs in all of docs (words)."""
-    found = docs.select(F.explode("words").alias("term")).join(_small(vocabulary), "term").groupBy("term").agg(F.count("*").alias("df"))
-    return vocabulary.join(found, "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df"))
+    """How often each term of vocabulary (term), in any case, occurs in all of docs (text)."""
+    keyed = vocabulary.select("term", term_hash(F.col("term")).alias("h"))
+    every = docs.select(F.explode(F.split(F.lower("text"), SEPARATORS, -1)).alias("t")).select(F.xxhash64("t").alias("h"))
+    found = every.join(_small(keyed.select("h").distinct()), "h").groupBy("h").agg(F.count("*").alias("df"))
+    return keyed.join(found, "h", "left").select("term", F.coalesce("df", F.lit(0)).alias("df"))
 
 
 def window_keys(items: DataFrame, frequencies: DataFrame, width: int) -> DataFrame:
@@ -63,11 +78,13 @@ def window_keys(items: DataFrame, frequencies: DataFrame, width: int) -> DataFra
 
 
 def build_postings(docs: DataFrame, key_terms: DataFrame, reach: int) -> DataFrame:
-    """docs (doc_id, words) -> postings (term, doc_id, pos, before, after) of key_terms (term)."""
-    all_terms = docs.select("doc_id", "words", F.posexplode("words").alias("pos", "term"))
-    hits = all_terms.join(_small(key_terms), "term")
+    """docs (doc_id, raw terms words) -> postings (term, doc_id, pos, before, after) of key_terms (term)."""
+    keyed = key_terms.select(F.col("term").alias("key_term"), term_hash(F.col("term")).alias("h"))
+    each = docs.select("doc_id", "words", F.posexplode("words").alias("pos", "raw")).select("doc_id", "words", "pos", "raw", term_hash(F.col("raw")).alias("h"))
+    hits = each.join(_small(keyed), "h").where(ascii_lower(F.col("raw")) == F.col("key_term"))
     from_ = F.greatest(F.col("pos") - reach, F.lit(0))
-    return hits.select("term", "doc_id", "pos", F.slice("words", from_ + 1, F.col("pos") - from_).alias("before"), F.slice("words", F.col("pos") + 2, F.lit(reach)).alias("after"))
+    before, after = F.slice("words", from_ + 1, F.col("pos") - from_), F.slice("words", F.col("pos") + 2, F.lit(reach))
+    return hits.select(F.col("key_term").alias("term"), "doc_id", "pos", F.transform(before, ascii_lower).alias("before"), F.transform(after, ascii_lower).alias("after"))
 
 
 def _equal_run(a: Column, b: Column) -> Column:
@@ -109,11 +126,11 @@ def find_contamination(docs: DataFrame, items: DataFrame, width: int = 13, share
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     key = F.struct("doc_id", F.xxhash64("text").alias("h"))
-    indexed = docs.select(key.alias("doc_id"), terms(F.col("text")).alias("words"))
+    indexed = docs.select(key.alias("doc_id"), raw_terms(F.col("text")).alias("words"))
     item = F.struct(F.col("item_id").cast("string").alias("item_id"), F.xxhash64("text").alias("h"))  # two texts may share an id
     items = items.select(item.alias("item_id"), terms(F.col("text")).alias("words")).where(F.size("words") > 0)
     vocabulary = items.select(F.explode("words").alias("term")).distinct()
-    frequencies = stage(corpus_frequencies(indexed, vocabulary), "frequencies")
+    frequencies = stage(corpus_frequencies(docs, vocabulary), "frequencies")
     keys = stage(window_keys(items, frequencies, width), "keys")
     hits = phrase_hits(build_postings(indexed, keys.select("term").distinct(), width - 1), keys)
     hits = stage(hits.distinct(), "hits")
@@ -126,7 +143,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, width: int = 13, share
     covered = spans.select("doc_id", fresh.alias("new")).groupBy("doc_id").agg(F.sum("new").cast("long").alias("n_hit"))
     named = hits.select("doc_id", "item_id.item_id").distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list("item_id")).alias("ids"))
     found = covered.join(named, "doc_id").select(F.col("doc_id.doc_id").alias("doc_id"), F.col("doc_id.h").alias("h"), "n_hit", "ids")
-    base = docs.select("doc_id", F.xxhash64("text").alias("h"), F.size(terms(F.col("text"))).cast("long").alias("n_words"))
+    base = docs.select("doc_id", F.xxhash64("text").alias("h"), F.size(raw_terms(F.col("text"))).cast("long").alias("n_words"))
     out = base.join(found.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")) & (base["h"] == found["h"]), "left")
     n_hit, ids = F.coalesce("n_hit", F.lit(0)), F.coalesce("ids", F.array().cast("array<string>"))
     return out.select(
