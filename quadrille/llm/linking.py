@@ -1,11 +1,11 @@
 """From shared signatures to verified links and components, without listing all pairs of a group.
 
 A class stands for all rows with the same set of shingles. Classes that share a signature are
-candidates. Round 1 links every class to one hub (the smallest class of the signature it shares
-most often); round 2 looks only at signatures that still hold several components, and there at
-the classes outside the largest one. A 256-bit parity map bounds the symmetric difference from
-below, so that only pairs that can still reach the threshold have their sets compared. No pair
-that could connect two components is left unverified, so the components are exact.
+candidates. A 256-bit parity map of each class bounds the symmetric difference from below, so
+that only pairs that can still reach the threshold have their sets read and compared. Round 1
+links every class to one hub (the smallest class of the signature it shares most often); round 2
+looks only at signatures that still hold several components, and there at the classes outside
+the largest one. No pair that could connect two components is left unverified, so the components are exact.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ from ._common import stage
 from .components import connected_components
 
 BITS = ["b0", "b1", "b2", "b3"]
-SET_SCHEMA = "cls long, n int, b0 long, b1 long, b2 long, b3 long, members binary"
+FACTS_SCHEMA = "n int, b0 long, b1 long, b2 long, b3 long"
+SET_SCHEMA = "cls long, members binary"
 
 
 def parity_map(hashes: np.ndarray) -> list[int]:
@@ -28,12 +29,14 @@ def parity_map(hashes: np.ndarray) -> list[int]:
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
-def set_batches(rows: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
-    bits = [parity_map(h) for _, h in rows]
-    arrays = [pa.array([c for c, _ in rows], pa.int64()), pa.array([len(h) for _, h in rows], pa.int32())]
-    arrays += [pa.array([b[i] for b in bits], pa.int64()) for i in range(4)]
-    arrays.append(pa.array([h.tobytes() for _, h in rows], pa.binary()))
-    return pa.RecordBatch.from_arrays(arrays, names=["cls", "n", *BITS, "members"])
+def fact_arrays(sets: list[np.ndarray]) -> tuple[list[pa.Array], list[str]]:
+    """Columns of FACTS_SCHEMA for sets of hashes."""
+    bits = np.array([parity_map(h) for h in sets], np.int64).reshape(-1, 4)
+    return [pa.array([len(h) for h in sets], pa.int32()), *[pa.array(bits[:, i]) for i in range(4)]], ["n", *BITS]
+
+
+def set_batch(rows: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int64()), pa.array([h.tobytes() for _, h in rows], pa.binary())], names=["cls", "members"])
 
 
 def _verifier(num: int, den: int):
@@ -69,30 +72,37 @@ def _possible(num: int, den: int):
     return (F.least(nx, ny) * den >= F.greatest(nx, ny) * num) & (apart * (num + den) <= (nx + ny) * (den - num))
 
 
-def link_components(shared: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """shared (sig, cls) of signatures met by two classes or more, sets as SET_SCHEMA
-    -> (node, label): components over all links of similarity >= num/den."""
-    hubs = shared.groupBy("sig").agg(F.min("cls").alias("hub"))
-    votes = shared.join(hubs, "sig").where("cls != hub").groupBy("cls", "hub").agg(F.count("*").alias("votes"))
-    first = votes.groupBy("cls").agg(F.min_by("hub", F.struct(-F.col("votes"), F.col("hub"))).alias("a")).select("a", F.col("cls").alias("b"))
-    edges = stage(verified(first, sets, num, den), "links")
-    found = connected_components(edges)
+def link_components(shared: DataFrame, facts: DataFrame, fetch, num: int, den: int) -> DataFrame:
+    """shared (sig, cls) of signatures met more than once, facts (cls, FACTS_SCHEMA) by class, fetch: DataFrame of cls
+    -> DataFrame of SET_SCHEMA. Returns (node, label): components over all links of similarity >= num/den."""
+    known = shared.join(facts, "cls")
+    side = lambda p, *more: [F.col(c).alias(f"{p}_{c}") for c in ("cls", "n", *BITS, *more)]
+    hubs = known.groupBy("sig").agg(F.min(F.struct("cls", "n", *BITS)).alias("h"), F.count("*").alias("c")).where("c > 1")
+    hubs = hubs.select("sig", *[F.col(f"h.{c}").alias(f"y_{c}") for c in ("cls", "n", *BITS)])
+    near = known.select("sig", *side("x")).join(hubs, "sig").where((F.col("x_cls") != F.col("y_cls")) & _possible(num, den))
+    votes = near.groupBy(F.col("x_cls").alias("b"), F.col("y_cls").alias("a")).agg(F.count("*").alias("votes"))
+    first = stage(votes.groupBy("b").agg(F.min_by("a", F.struct(-F.col("votes"), F.col("a"))).alias("a")), "first")
 
-    facts = sets.select("cls", "n", *BITS)
-    known = shared.join(facts, "cls").join(found.withColumnRenamed("node", "cls"), "cls", "left")
-    known = stage(known.withColumn("label", F.coalesce("label", "cls")), "known")
+    def verify(pairs):
+        sets = fetch(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct())
+        return stage(verified(pairs, stage(sets, "sets"), num, den), "links")
+
+    edges = verify(first)
+    found = connected_components(edges)
+    known = known.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    known = stage(known, "known")
     sizes = known.groupBy("sig", "label").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("sig").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
     rest = known.join(mixed.select("sig", "main"), "sig")
-    side = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ("cls", "label", "n", *BITS)]
-    few = rest.where("label != main").select("sig", *side("x"))
+    few = rest.where("label != main").select("sig", *side("x", "label"))
     more = (
-        few.join(rest.select("sig", "main", *side("y")), "sig")
+        few.join(rest.select("sig", "main", *side("y", "label")), "sig")
         .where((F.col("x_label") != F.col("y_label")) & ((F.col("y_label") == F.col("main")) | (F.col("x_cls") < F.col("y_cls"))) & _possible(num, den))
         .select(F.least("x_cls", "y_cls").alias("a"), F.greatest("x_cls", "y_cls").alias("b"))
         .distinct()
     )
-    late = stage(verified(more, sets, num, den), "links")
-    if late.isEmpty():
+    more = stage(more.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "more")
+    if more.isEmpty():
         return found
-    return connected_components(edges.union(late))
+    late = verify(more)
+    return found if late.isEmpty() else connected_components(edges.union(late))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import WordHash, mix, set_id, shingle_set, stage, within
-from .linking import SET_SCHEMA, link_components, set_batches
+from .linking import BITS, FACTS_SCHEMA, SET_SCHEMA, fact_arrays, link_components, set_batch
 
 SLICE = 4096
 BAND = 1.25
@@ -34,32 +34,28 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+PROFILE_SCHEMA = f"doc_id long, cls long, {FACTS_SCHEMA}, slice int, counts array<long>"
+
+
 def _profile(k: int, buckets: int):
-    """Per document its set size and class; at the end of a task the sketch of its shingles."""
+    """Per document its class, set size and parity map; at the end of a task the sketch of its shingles."""
+    names = ["doc_id", "cls", "n", *BITS, "slice", "counts"]
 
     def run(batches):
         cache, sketch = WordHash(), np.zeros(buckets, np.int64)
         for batch in batches:
-            ns, ids = [], []
-            for text in batch.column("text").to_pylist():
-                hashes = shingle_set(words_of(text), k, cache)
-                ns.append(len(hashes))
-                ids.append(set_id(hashes) if len(hashes) else None)
-                sketch += np.bincount((hashes % np.uint64(buckets)).astype(np.int64), minlength=buckets) if len(hashes) > 5000 else 0
-                if len(hashes) <= 5000:
-                    np.add.at(sketch, (hashes % np.uint64(buckets)).astype(np.int64), 1)
-            none = pa.nulls(len(ns), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(ids, pa.int64()), none, pa.nulls(len(ns), pa.list_(pa.int64()))],
-                names=["doc_id", "n", "cls", "slice", "counts"],
-            )
+            sets = [shingle_set(words_of(t), k, cache) for t in batch.column("text").to_pylist()]
+            for h in sets:
+                np.add.at(sketch, (h % np.uint64(buckets)).astype(np.int64), 1)
+            m = len(sets)
+            facts, _ = fact_arrays(sets)
+            cls = pa.array([set_id(h) if len(h) else None for h in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), cls, *facts, pa.nulls(m, pa.int32()), pa.nulls(m, pa.list_(pa.int64()))], names=names)
+        none = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), *[pa.nulls(1, pa.int64())] * 4]
         for i in range(0, buckets, SLICE):
             part = sketch[i : i + SLICE]
             if part.any():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([i // SLICE], pa.int32()), pa.array([part.tolist()], pa.list_(pa.int64()))],
-                    names=["doc_id", "n", "cls", "slice", "counts"],
-                )
+                yield pa.RecordBatch.from_arrays([*none, pa.array([i // SLICE], pa.int32()), pa.array([part.tolist()], pa.list_(pa.int64()))], names=names)
 
     return run
 
@@ -129,10 +125,10 @@ def _sets(k: int):
                     continue
                 rows.append((cls, hashes))
                 if len(rows) >= 200:
-                    yield set_batches(rows)
+                    yield set_batch(rows)
                     rows = []
             if rows:
-                yield set_batches(rows)
+                yield set_batch(rows)
 
     return run
 
@@ -150,8 +146,8 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 3, num: int = 9, den: int
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     buckets = 1 << min(24, max(16, (docs.count() - 1).bit_length()))
-    profile = stage(docs.mapInArrow(_profile(k, buckets), "doc_id long, n long, cls long, slice int, counts array<long>"), "profile")
-    rows = profile.where("slice is null").select("doc_id", "n", "cls")
+    profile = stage(docs.mapInArrow(_profile(k, buckets), PROFILE_SCHEMA), "profile")
+    rows = profile.where("slice is null").select("doc_id", "n", "cls", *BITS)
     load = profile.where("slice is not null").select("slice", F.posexplode("counts").alias("i", "c")).where("c > 0").groupBy("slice", "i").agg(F.sum("c").alias("c")).toPandas()
     counts = np.zeros(buckets, np.int64)  # a fixed size, whatever the corpus
     counts[load["slice"].to_numpy(np.int64) * SLICE + load["i"].to_numpy(np.int64)] = load["c"].to_numpy(np.int64)
@@ -159,21 +155,22 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 3, num: int = 9, den: int
 
     sketch = spark.sparkContext.broadcast(counts)
     postings = stage(docs.mapInArrow(_posting(k, sketch, frequent, num, den), "sig long, cls long"), "postings")
-    met = postings.groupBy("sig").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo != hi").select("sig")
+    met = postings.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1").select("sig")
     shared = stage(postings.join(met, "sig").distinct(), "shared")
 
-    classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"))
-    wanted = classes.join(shared.select("cls").distinct(), "cls")
-    wanted = stage(wanted, "wanted")
-    side = wanted.select("cls", F.col("first").alias("doc_id"))
-    if within(wanted, BROADCAST_IDS):
-        side = F.broadcast(side)
-    sets = stage(docs.join(side, "doc_id").select("cls", "text").mapInArrow(_sets(k), SET_SCHEMA).dropDuplicates(["cls"]), "sets")
-    found = link_components(shared, sets, num, den)
+    classes = stage(rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"), *[F.min(c).alias(c) for c in ("n", *BITS)]), "classes")
+
+    def fetch(wanted):
+        side = stage(classes.join(wanted, "cls").select("cls", F.col("first").alias("doc_id")), "wanted")
+        side = F.broadcast(side) if within(side, BROADCAST_IDS) else side
+        return docs.join(side, "doc_id").select("cls", "text").mapInArrow(_sets(k), SET_SCHEMA).dropDuplicates(["cls"])
+
+    found = link_components(shared, classes.drop("first"), fetch, num, den)
+    classes = classes.select("cls", "first")
 
     named = found.join(classes.withColumnRenamed("cls", "node"), "node")
     heads = named.groupBy("label").agg(F.min("first").alias("component_id"))
     by_class = named.join(heads, "label").select(F.col("node").alias("cls"), "component_id")
     by_class = classes.join(by_class, "cls", "left").select("cls", F.coalesce("component_id", "first").alias("component_id"))
     out = rows.join(by_class, "cls", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._common import WordHash, set_id, shingle_set, stage, within
-from .linking import SET_SCHEMA, link_components, set_batches
+from .linking import BITS, FACTS_SCHEMA, SET_SCHEMA, fact_arrays, link_components, set_batch
 
 BROADCAST_IDS = 1_000_000
 PERMUTATIONS = 30
@@ -45,20 +45,27 @@ def _line_words(text: str | None) -> list[tuple[int, list[bytes]]]:
     return [(i, w) for i, line in enumerate(raw) if (w := line.split())]
 
 
+LINE_SCHEMA = f"doc_id long, line int, n_words int, cls long, {FACTS_SCHEMA}"
+
+
 def _lines(k: int):
-    """One row for each line with a word: doc_id, line number, words, class of its shingle set."""
+    """One row for each line with a word: doc_id, line number, words, class and facts of its shingle set."""
 
     def run(batches):
         cache = WordHash()
         for batch in batches:
-            ids, n, cls, at = [], [], [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                for i, words in _line_words(text):
-                    ids.append(doc_id)
-                    at.append(i)
-                    n.append(len(words))
-                    cls.append(set_id(shingle_set(words, k, cache)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(cls, pa.int64())], names=["doc_id", "line", "n_words", "cls"])
+            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+            for lo in range(0, len(ids), 500):
+                doc, n, sets, at = [], [], [], []
+                for doc_id, text in zip(ids[lo : lo + 500], texts[lo : lo + 500]):
+                    for i, words in _line_words(text):
+                        doc.append(doc_id)
+                        at.append(i)
+                        n.append(len(words))
+                        sets.append(shingle_set(words, k, cache))
+                facts, names = fact_arrays(sets)
+                cls = pa.array([set_id(h) for h in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(at, pa.int32()), pa.array(n, pa.int32()), cls, *facts], names=["doc_id", "line", "n_words", "cls", *names])
 
     return run
 
@@ -113,7 +120,7 @@ def _sets(k: int):
                 if set_id(hashes) == cls:
                     rows.append((cls, hashes))
             if rows:
-                yield set_batches(rows)
+                yield set_batch(rows)
 
     return run
 
@@ -131,17 +138,21 @@ def repeated_passages(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, m
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     bands, rows = tune_bands(num / den, recall)
-    lines = stage(docs.mapInArrow(_lines(k), "doc_id long, line int, n_words int, cls long"), "lines")
+    lines = stage(docs.mapInArrow(_lines(k), LINE_SCHEMA), "lines")
     postings = stage(docs.mapInArrow(_bands(k, bands, rows, k + 1), "sig long, cls long"), "bands")
     met = postings.groupBy("sig").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo != hi").select("sig")
     shared = stage(postings.join(met, "sig").distinct(), "shared")
 
-    classes = lines.groupBy("cls").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("places"))
-    wanted = classes.join(shared.select("cls").distinct(), "cls").select("cls", "first.*")
-    wanted = stage(wanted, "wanted")
-    side = F.broadcast(wanted) if within(wanted, BROADCAST_IDS) else wanted
-    sets = stage(docs.join(side, "doc_id").select("cls", "line", "text").mapInArrow(_sets(k), SET_SCHEMA).dropDuplicates(["cls"]), "sets")
-    found = link_components(shared, sets, num, den)
+    classes = stage(lines.groupBy("cls").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("places"), *[F.min(c).alias(c) for c in ("n", *BITS)]), "classes")
+
+    def fetch(wanted):
+        side = stage(classes.join(wanted, "cls").select("cls", "first.*"), "wanted")
+        side = F.broadcast(side) if within(side, BROADCAST_IDS) else side
+        return docs.join(side, "doc_id").select("cls", "line", "text").mapInArrow(_sets(k), SET_SCHEMA).dropDuplicates(["cls"])
+
+    found = link_components(shared, classes.select("cls", "n", *BITS), fetch, num, den)
+    classes = classes.select("cls", "first", "places")
+    lines = lines.select("doc_id", "line", "n_words", "cls")
 
     labelled = classes.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     heads = labelled.groupBy("label").agg(F.min("first").alias("head"), F.sum("places").alias("places")).where("places > 1")
