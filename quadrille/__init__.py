@@ -1,0 +1 @@
+"""Analytics over captures of programme pages, and operators for training data, on PySpark."""
