@@ -22,9 +22,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weak-supervision posterior keeps; those with nothing to read go."""
-    slim = docs.select(*COLUMNS)
-    counted = stage(count_features(slim), "counted")  # the votes are counted, then applied
-    return judge_quality(counted).where("kept").select(*COLUMNS)
+    return judge_quality(count_features(docs.select(*COLUMNS))).where("kept").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

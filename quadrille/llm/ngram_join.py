@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WordHash, mix, set_id, shingle_set, stage, within
+from ._common import WordHash, mix, set_id, shingle_set, stage, unstage, within
 from .linking import BITS, FACTS_SCHEMA, SET_SCHEMA, fact_arrays, link_components, set_batch
 
 SLICE = 4096
@@ -157,6 +157,7 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 3, num: int = 9, den: int
     postings = stage(docs.mapInArrow(_posting(k, sketch, frequent, num, den), "sig long, cls long"), "postings")
     met = postings.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1").select("sig")
     shared = stage(postings.join(met, "sig").distinct(), "shared")
+    unstage(postings)
 
     classes = stage(rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"), *[F.min(c).alias(c) for c in ("n", *BITS)]), "classes")
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import WordHash, set_id, shingle_set, stage, within
+from ._common import WordHash, set_id, shingle_set, stage, unstage, within
 from .linking import BITS, FACTS_SCHEMA, SET_SCHEMA, fact_arrays, link_components, set_batch
 
 BROADCAST_IDS = 1_000_000
@@ -142,6 +142,7 @@ def repeated_passages(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, m
     postings = stage(docs.mapInArrow(_bands(k, bands, rows, k + 1), "sig long, cls long"), "bands")
     met = postings.groupBy("sig").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo != hi").select("sig")
     shared = stage(postings.join(met, "sig").distinct(), "shared")
+    unstage(postings)
 
     classes = stage(lines.groupBy("cls").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("places"), *[F.min(c).alias(c) for c in ("n", *BITS)]), "classes")
 
