@@ -9,6 +9,7 @@ from ._common import table
 from .chat_format import format_chats, loss_texts, message_log, read_back
 from .decontamination import find_contamination
 from .ngram_join import ngram_jaccard_components
+from .oracles import ORACLE_SQL as ORACLE_SQL
 from .paragraph_dedup import repeated_passages
 from .piece_bpe import encode_pieces
 from .quality import count_features, judge_quality
@@ -86,4 +87,3 @@ QUERIES = {
     f.__name__: f
     for f in (op1_toxicity, op2_ngram_jaccard_join, op3_url_filters, op4_decontamination, op5_substring_dedup, op6_chat_format, op7_quality_rules, op8_secret_scan, op9_sentencepiece, op10_sharding)
 }
-ORACLE_SQL: dict[str, str] = {}
