@@ -94,11 +94,9 @@ def strip_label(text: Column, labels: list[str]) -> Column:
     prefix = F.substring_index(text, ":", 1)
     suffix = F.substring(text, F.length(prefix) + 2, F.length(text))
     colon = text.contains(":") & (F.length(prefix) <= 80) & ~F.lower(prefix).contains("http") & any_of(F.lower(prefix), labels)
-    options = [F.when(colon, filled(collapse(suffix)))]
-    for label in labels:
-        rest = F.regexp_replace(F.substring(text, F.lit(len(label) + 1), F.length(text)), r"^[ \-:]+", "")
-        options.append(F.when(F.lower(text).startswith(label), filled(F.regexp_replace(collapse(rest), r"(?i)^(?:on|is)\s+", ""))))
-    return F.coalesce(*options, collapse(text))
+    # the labels in their order; one that would leave nothing gives way to the next
+    start = r"(?is)^(?:" + "|".join(labels) + r")[ \-:]*+(?:(?:on|is)\s+)?(\S.*)$"
+    return F.coalesce(F.when(colon, filled(collapse(suffix))), filled(collapse(F.regexp_extract(text, start, 1))), collapse(text))
 
 
 def sentence(text: Column, fits) -> Column:
