@@ -2,7 +2,8 @@
 
 A class stands for all rows with the same set of shingles. Classes that share a signature are
 candidates. A 256-bit parity map of each class bounds the symmetric difference from below, so
-that only pairs that can still reach the threshold have their sets read and compared. Round 1
+that only pairs that can still reach the threshold go on; for long sets, whose small maps are
+full, a map of 8192 bits does so again before any set is read and compared. Round 1
 links every class to one hub (the smallest class of the signature it shares most often); round 2
 looks only at signatures that still hold several components, and there at the classes outside
 the largest one. No pair that could connect two components is left unverified, so the components are exact.
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stage
+from ._common import stage, unstage
 from .components import connected_components
 
 BITS = ["b0", "b1", "b2", "b3"]
@@ -39,6 +40,30 @@ def set_batch(rows: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int64()), pa.array([h.tobytes() for _, h in rows], pa.binary())], names=["cls", "members"])
 
 
+WIDE = 8192
+
+
+def wide_map(hashes: np.ndarray) -> np.ndarray:
+    """The size of a set and 8192 parities, as one array of numbers."""
+    odd = np.bincount((hashes >> np.uint64(13)).astype(np.int64) & (WIDE - 1), minlength=WIDE) & 1
+    return np.concatenate([np.array([len(hashes)], np.uint64), np.packbits(odd.astype(np.uint8)).view(np.uint64)])
+
+
+def _still_possible(num: int, den: int):
+    def run(batches):
+        for batch in batches:
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            keep = []
+            for i, (x, y) in enumerate(zip(batch.column("ma").to_pylist(), batch.column("mb").to_pylist())):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                apart, both = int(np.bitwise_count(x[1:] ^ y[1:]).sum()), int(x[0] + y[0])
+                if apart * (num + den) <= both * (den - num):
+                    keep.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
+
+    return run
+
+
 def _verifier(num: int, den: int):
     def run(batches):
         for batch in batches:
@@ -57,12 +82,15 @@ def _verifier(num: int, den: int):
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """pairs (a, b) whose sets have Jaccard similarity >= num/den, as edges (u, v)."""
+def _with_members(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     small = sets.select(F.col("cls").alias("b"), F.col("members").alias("mb"))
     large = sets.select(F.col("cls").alias("a"), F.col("members").alias("ma"))
-    full = pairs.select("a", "b").join(small, "b").join(large, "a")
-    return full.mapInArrow(_verifier(num, den), "u long, v long")
+    return pairs.select("a", "b").join(small, "b").join(large, "a")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """pairs (a, b) whose sets have Jaccard similarity >= num/den, as edges (u, v)."""
+    return _with_members(pairs, sets).mapInArrow(_verifier(num, den), "u long, v long")
 
 
 def _possible(num: int, den: int):
@@ -72,9 +100,9 @@ def _possible(num: int, den: int):
     return (F.least(nx, ny) * den >= F.greatest(nx, ny) * num) & (apart * (num + den) <= (nx + ny) * (den - num))
 
 
-def link_components(shared: DataFrame, facts: DataFrame, fetch, num: int, den: int) -> DataFrame:
+def link_components(shared: DataFrame, facts: DataFrame, fetch, num: int, den: int, wide: bool = False) -> DataFrame:
     """shared (sig, cls) of signatures met more than once, facts (cls, FACTS_SCHEMA) by class, fetch: DataFrame of cls
-    -> DataFrame of SET_SCHEMA. Returns (node, label): components over all links of similarity >= num/den."""
+    -> DataFrame of SET_SCHEMA, with wide maps in place of the sets if its second argument is true. Returns (node, label): components over all links of similarity >= num/den."""
     known = shared.join(facts, "cls")
     side = lambda p, *more: [F.col(c).alias(f"{p}_{c}") for c in ("cls", "n", *BITS, *more)]
     hubs = known.groupBy("sig").agg(F.min(F.struct("cls", "n", *BITS)).alias("h"), F.count("*").alias("c")).where("c > 1")
@@ -84,8 +112,15 @@ def link_components(shared: DataFrame, facts: DataFrame, fetch, num: int, den: i
     first = stage(votes.groupBy("b").agg(F.min_by("a", F.struct(-F.col("votes"), F.col("a"))).alias("a")), "first")
 
     def verify(pairs):
-        sets = fetch(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct())
-        return stage(verified(pairs, stage(sets, "sets"), num, den), "links")
+        used = lambda p: p.select(F.col("a").alias("cls")).union(p.select("b")).distinct()
+        if wide:
+            maps = stage(fetch(used(pairs), True), "maps")
+            pairs = stage(_with_members(pairs, maps).mapInArrow(_still_possible(num, den), "a long, b long"), "pairs")
+            unstage(maps)
+        sets = stage(fetch(used(pairs), False), "sets")
+        out = stage(verified(pairs, sets, num, den), "links")
+        unstage(sets)
+        return out
 
     edges = verify(first)
     found = connected_components(edges)

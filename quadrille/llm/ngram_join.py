@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import WordHash, mix, set_id, shingle_set, stage, unstage, within
-from .linking import BITS, FACTS_SCHEMA, SET_SCHEMA, fact_arrays, link_components, set_batch
+from .linking import BITS, FACTS_SCHEMA, SET_SCHEMA, fact_arrays, link_components, set_batch, wide_map
 
 SLICE = 4096
 BAND = 1.25
@@ -114,7 +114,7 @@ def _posting(k: int, sketch, frequent: float, num: int, den: int):
     return run
 
 
-def _sets(k: int):
+def _sets(k: int, maps: bool):
     def run(batches):
         cache = WordHash()
         for batch in batches:
@@ -123,7 +123,7 @@ def _sets(k: int):
                 hashes = shingle_set(words_of(text), k, cache)
                 if set_id(hashes) != cls:  # another row with the same doc_id
                     continue
-                rows.append((cls, hashes))
+                rows.append((cls, wide_map(hashes) if maps else hashes))
                 if len(rows) >= 200:
                     yield set_batch(rows)
                     rows = []
@@ -161,12 +161,12 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 3, num: int = 9, den: int
 
     classes = stage(rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"), *[F.min(c).alias(c) for c in ("n", *BITS)]), "classes")
 
-    def fetch(wanted):
+    def fetch(wanted, maps):
         side = stage(classes.join(wanted, "cls").select("cls", F.col("first").alias("doc_id")), "wanted")
         side = F.broadcast(side) if within(side, BROADCAST_IDS) else side
-        return docs.join(side, "doc_id").select("cls", "text").mapInArrow(_sets(k), SET_SCHEMA).dropDuplicates(["cls"])
+        return docs.join(side, "doc_id").select("cls", "text").mapInArrow(_sets(k, maps), SET_SCHEMA).dropDuplicates(["cls"])
 
-    found = link_components(shared, classes.drop("first"), fetch, num, den)
+    found = link_components(shared, classes.drop("first"), fetch, num, den, wide=True)
     classes = classes.select("cls", "first")
 
     named = found.join(classes.withColumnRenamed("cls", "node"), "node")

@@ -146,7 +146,7 @@ def repeated_passages(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, m
 
     classes = stage(lines.groupBy("cls").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("places"), *[F.min(c).alias(c) for c in ("n", *BITS)]), "classes")
 
-    def fetch(wanted):
+    def fetch(wanted, maps):
         side = stage(classes.join(wanted, "cls").select("cls", "first.*"), "wanted")
         side = F.broadcast(side) if within(side, BROADCAST_IDS) else side
         return docs.join(side, "doc_id").select("cls", "line", "text").mapInArrow(_sets(k), SET_SCHEMA).dropDuplicates(["cls"])
