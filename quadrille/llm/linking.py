@@ -100,6 +100,14 @@ def _possible(num: int, den: int):
     return (F.least(nx, ny) * den >= F.greatest(nx, ny) * num) & (apart * (num + den) <= (nx + ny) * (den - num))
 
 
+def shared_signatures(postings: DataFrame) -> DataFrame:
+    """(sig, cls) of the signatures that two classes or more have. One exchange serves the count, the join and the
+    distinct; a class posts once a task, so that copies are gathered before it."""
+    dealt = postings.repartition("sig")
+    met = dealt.groupBy("sig").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo != hi").select("sig")
+    return stage(dealt.join(met, "sig").distinct(), "shared")
+
+
 def link_components(shared: DataFrame, facts: DataFrame, fetch, num: int, den: int, wide: bool = False) -> DataFrame:
     """shared (sig, cls) of signatures met more than once, facts (cls, FACTS_SCHEMA) by class, fetch: DataFrame of cls
     -> DataFrame of SET_SCHEMA, with wide maps in place of the sets if its second argument is true. Returns (node, label): components over all links of similarity >= num/den."""

@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WordHash, mix, set_id, shingle_set, stage, unstage, within
-from .linking import BITS, FACTS_SCHEMA, SET_SCHEMA, fact_arrays, link_components, set_batch, wide_map
+from ._common import WordHash, mix, set_id, shingle_set, stage, within
+from .linking import BITS, FACTS_SCHEMA, SET_SCHEMA, fact_arrays, link_components, set_batch, shared_signatures, wide_map
 
 SLICE = 4096
 BAND = 1.25
@@ -95,16 +95,18 @@ def signatures(hashes: np.ndarray, sketch: np.ndarray, frequent: float, num: int
 
 def _posting(k: int, sketch, frequent: float, num: int, den: int):
     def run(batches):
-        cache, counts = WordHash(), sketch.value
+        cache, counts, seen = WordHash(), sketch.value, set()
         for batch in batches:
             sigs, ids = [], []
             for text in batch.column("text").to_pylist():
                 hashes = shingle_set(words_of(text), k, cache)
-                if len(hashes):
-                    got = signatures(hashes, counts, frequent, num, den)
-                    if len(got):
-                        sigs.append(got.view(np.int64))
-                        ids.append(np.full(len(got), set_id(hashes), np.int64))
+                if not len(hashes) or (cls := set_id(hashes)) in seen:
+                    continue
+                seen.add(cls)
+                got = signatures(hashes, counts, frequent, num, den)
+                if len(got):
+                    sigs.append(got.view(np.int64))
+                    ids.append(np.full(len(got), cls, np.int64))
                 if len(sigs) >= 500:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(ids))], names=["sig", "cls"])
                     sigs, ids = [], []
@@ -154,10 +156,7 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 3, num: int = 9, den: int
     frequent = 4 * counts.mean() + 64
 
     sketch = spark.sparkContext.broadcast(counts)
-    postings = stage(docs.mapInArrow(_posting(k, sketch, frequent, num, den), "sig long, cls long"), "postings")
-    met = postings.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1").select("sig")
-    shared = stage(postings.join(met, "sig").distinct(), "shared")
-    unstage(postings)
+    shared = shared_signatures(docs.mapInArrow(_posting(k, sketch, frequent, num, den), "sig long, cls long"))
 
     classes = stage(rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"), *[F.min(c).alias(c) for c in ("n", *BITS)]), "classes")
 

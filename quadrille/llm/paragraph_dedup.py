@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import WordHash, set_id, shingle_set, stage, unstage, within
-from .linking import BITS, FACTS_SCHEMA, SET_SCHEMA, fact_arrays, link_components, set_batch
+from ._common import WordHash, set_id, shingle_set, stage, within
+from .linking import BITS, FACTS_SCHEMA, SET_SCHEMA, fact_arrays, link_components, set_batch, shared_signatures
 
 BROADCAST_IDS = 1_000_000
 PERMUTATIONS = 30
@@ -75,7 +75,7 @@ def _bands(k: int, bands: int, rows: int, least: int):
     seeds = _seeds(bands * rows)
 
     def run(batches):
-        cache = WordHash()
+        cache, seen = WordHash(), set()
         for batch in batches:
             sigs, ids = [], []
             for text in batch.column("text").to_pylist():
@@ -83,9 +83,11 @@ def _bands(k: int, bands: int, rows: int, least: int):
                 for _, words in _line_words(text):
                     if len(words) >= least:
                         hashes = shingle_set(words, k, cache)
-                        pools.append(hashes)
-                        sizes.append(len(hashes))
-                        own.append(set_id(hashes))
+                        if (cls := set_id(hashes)) not in seen:
+                            seen.add(cls)
+                            pools.append(hashes)
+                            sizes.append(len(hashes))
+                            own.append(cls)
                 if not own:
                     continue
                 pool = np.concatenate(pools)
@@ -139,10 +141,7 @@ def repeated_passages(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, m
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     bands, rows = tune_bands(num / den, recall)
     lines = stage(docs.mapInArrow(_lines(k), LINE_SCHEMA), "lines")
-    postings = stage(docs.mapInArrow(_bands(k, bands, rows, k + 1), "sig long, cls long"), "bands")
-    met = postings.groupBy("sig").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo != hi").select("sig")
-    shared = stage(postings.join(met, "sig").distinct(), "shared")
-    unstage(postings)
+    shared = shared_signatures(docs.mapInArrow(_bands(k, bands, rows, k + 1), "sig long, cls long"))
 
     classes = stage(lines.groupBy("cls").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("places"), *[F.min(c).alias(c) for c in ("n", *BITS)]), "classes")
 
