@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 
 
-STEP = 2500
+STEP = 1000
 LONG = 24
 _PART = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -59,7 +59,7 @@ class ChunkCache(dict):
 class PieceTable:
     """Encoder over the pieces of one BPE model."""
 
-    def __init__(self, model: bytes, chunk_bound: int = 400_000, pair_bound: int = 1_000_000):
+    def __init__(self, model: bytes, chunk_bound: int = 300_000, pair_bound: int = 1_000_000):
         self.library = sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.bytes, self.rank, self.id = {}, {}, {}
         for i in range(sp.vocab_size()):
@@ -240,20 +240,21 @@ def _coding(model, with_ids: bool):
     def run(batches):
         coder = piece_table("model", model.value)
         for batch in batches:
-            n, ids_out, id_sha, text_sha = [], [], [], []
-            texts = batch.column("text").to_pylist()
-            for ids in (x for lo in range(0, len(texts), STEP) for x in coder.encode_many(texts[lo : lo + STEP])):
-                n.append(len(ids))
-                id_sha.append(sha(coder.show(ids)))
-                text_sha.append(sha(coder.library.decode(ids)))
+            for lo in range(0, batch.num_rows, STEP):  # ids of a step only are in memory as numbers of Python
+                part = batch.slice(lo, STEP)
+                n, packed, id_sha, text_sha = [], [], [], []
+                for ids in coder.encode_many(part.column("text").to_pylist()):
+                    n.append(len(ids))
+                    id_sha.append(sha(coder.show(ids)))
+                    text_sha.append(sha(coder.library.decode(ids)))
+                    if with_ids:
+                        packed.append(np.array(ids, np.int32))
+                arrays = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(id_sha, pa.string()), pa.array(text_sha, pa.string())]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    ids_out.append(ids)
-            arrays = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(id_sha), pa.array(text_sha)]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                arrays.append(pa.array(ids_out, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+                    arrays.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(np.concatenate(packed))))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return run
 
