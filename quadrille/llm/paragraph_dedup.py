@@ -74,12 +74,24 @@ def _bands(k: int, bands: int, rows: int, least: int):
     """Band keys of the lines with at least `least` words."""
     seeds = _seeds(bands * rows)
 
+    def keys(pools, sizes, own):
+        """Band keys of many lines at once."""
+        pool, starts, own = np.concatenate(pools), np.cumsum([0, *sizes[:-1]]), np.array(own, np.int64)
+        sigs = []
+        for b in range(bands):
+            key = np.full(len(own), b + 1, np.uint64)
+            for j in range(b * rows, (b + 1) * rows):
+                h = pool * seeds[j]
+                h ^= h >> np.uint64(32)
+                key = (key ^ (key >> np.uint64(29))) * seeds[0] + np.minimum.reduceat(h, starts)
+            sigs.append(key.view(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.tile(own, bands))], names=["sig", "cls"])
+
     def run(batches):
         cache, seen = WordHash(), set()
         for batch in batches:
-            sigs, ids = [], []
+            pools, sizes, own, n = [], [], [], 0
             for text in batch.column("text").to_pylist():
-                pools, sizes, own = [], [], []
                 for _, words in _line_words(text):
                     if len(words) >= least:
                         hashes = shingle_set(words, k, cache)
@@ -88,25 +100,12 @@ def _bands(k: int, bands: int, rows: int, least: int):
                             pools.append(hashes)
                             sizes.append(len(hashes))
                             own.append(cls)
-                if not own:
-                    continue
-                pool = np.concatenate(pools)
-                starts = np.cumsum([0, *sizes[:-1]])
-                low = np.empty((len(own), len(seeds)), np.uint64)
-                for j, seed in enumerate(seeds):
-                    h = pool * seed
-                    low[:, j] = np.minimum.reduceat(h ^ (h >> np.uint64(32)), starts)
-                for b in range(bands):
-                    key = np.full(len(own), b + 1, np.uint64)
-                    for j in range(b * rows, (b + 1) * rows):
-                        key = (key ^ (key >> np.uint64(29))) * seeds[0] + low[:, j]
-                    sigs.append(key.view(np.int64))
-                    ids.append(np.array(own, np.int64))
-                if len(sigs) >= 4000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(ids))], names=["sig", "cls"])
-                    sigs, ids = [], []
-            if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(ids))], names=["sig", "cls"])
+                            n += len(hashes)
+                if n >= 200_000:
+                    yield keys(pools, sizes, own)
+                    pools, sizes, own, n = [], [], [], 0
+            if own:
+                yield keys(pools, sizes, own)
 
     return run
 
