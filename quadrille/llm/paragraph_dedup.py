@@ -3,8 +3,8 @@
 Paragraphs are the lines of a text. A line's set of k-word shingles (the whole line if shorter) is
 MinHashed; band keys of few rows and many bands find pairs of the wanted similarity with high
 recall. Colliding paragraphs are verified by exact Jaccard similarity and clustered into
-components. Neighbouring lines that repeat elsewhere form one passage; passages of
-min_words and more are reported, kept in the first document that holds them and removed from the others.
+components. Neighbouring words that repeat elsewhere form one run; each word is a copy or at its first
+place, and passages of min_words and more of a run are reported, copies as removed.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._common import WordHash, set_id, shingle_set, stage, within
@@ -45,27 +44,31 @@ def _line_words(text: str | None) -> list[tuple[int, list[bytes]]]:
     return [(i, w) for i, line in enumerate(raw) if (w := line.split())]
 
 
-LINE_SCHEMA = f"doc_id long, line int, n_words int, cls long, {FACTS_SCHEMA}"
+LINE_SCHEMA = f"doc_id long, line int, at int, n_words int, cls long, {FACTS_SCHEMA}"
+PASSAGE_SCHEMA = "doc_id long, first_line int, last_line int, n_words long, component_id long, removed boolean, first_word int, last_word int"
 
 
 def _lines(k: int):
-    """One row for each line with a word: doc_id, line number, words, class and facts of its shingle set."""
+    """One row for each line with a word: doc_id, line number, words before and in it, class and facts of its shingle set."""
 
     def run(batches):
         cache = WordHash()
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for lo in range(0, len(ids), 500):
-                doc, n, sets, at = [], [], [], []
+                doc, n, sets, at, before = [], [], [], [], []
                 for doc_id, text in zip(ids[lo : lo + 500], texts[lo : lo + 500]):
+                    past = 0
                     for i, words in _line_words(text):
                         doc.append(doc_id)
                         at.append(i)
+                        before.append(past)
                         n.append(len(words))
+                        past += len(words)
                         sets.append(shingle_set(words, k, cache))
                 facts, names = fact_arrays(sets)
                 cls = pa.array([set_id(h) for h in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(at, pa.int32()), pa.array(n, pa.int32()), cls, *facts], names=["doc_id", "line", "n_words", "cls", *names])
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(at, pa.int32()), pa.array(before, pa.int32()), pa.array(n, pa.int32()), cls, *facts], names=["doc_id", "line", "at", "n_words", "cls", *names])
 
     return run
 
@@ -126,14 +129,81 @@ def _sets(k: int):
     return run
 
 
-def repeated_passages(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, min_words: int = 50, recall: float = 0.99) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, first_line, last_line, n_words, component_id, removed): one row for each passage
-    of at least min_words words whose lines all repeat in other places.
+def _edges(mask: np.ndarray) -> list[tuple[int, int]]:
+    """First and end of each stretch of true values."""
+    turn = np.flatnonzero(np.diff(np.r_[False, mask, False].astype(np.int8))).tolist()
+    return list(zip(turn[::2], turn[1::2]))
+
+
+def _of_document(rows: dict[str, np.ndarray], min_words: int):
+    """(first line, last line, words, head, removed, first word, last word) of the passages of one document."""
+    own, hit = np.flatnonzero(rows["line"] >= 0), np.flatnonzero(rows["hit"])
+    starts, numbers = rows["at"][own], rows["line"][own]
+    at, to, copy, head = rows["at"][hit], rows["at"][hit] + rows["n"][hit], rows["copied"][hit], rows["head"][hit]
+    total = int(to.max())
+    repeats, copied, heads = np.zeros(total, bool), np.zeros(total, bool), np.full(total, np.iinfo(np.int64).max)
+    for a, b, c, h in zip(at.tolist(), to.tolist(), copy.tolist(), head.tolist()):
+        repeats[a:b] = True
+        if c:
+            copied[a:b] = True
+        np.minimum(heads[a:b], h, out=heads[a:b])
+    gone = [x for x in _edges(copied) if x[1] - x[0] >= min_words]
+    for a, b in gone:
+        repeats[a:b] = False
+    for removed, some in ((True, gone), (False, _edges(repeats))):
+        for a, b in some:
+            if b - a >= min_words:
+                docs, words = np.unique(heads[a:b], return_counts=True)
+                first, last = (int(numbers[np.searchsorted(starts, x, "right") - 1]) for x in (a, b - 1))
+                yield first, last, b - a, int(docs[np.argmax(words)]), removed, a, b - 1
+
+
+MARKS = ["doc_id", "at", "n", "line", "hit", "head", "copied"]
+
+
+def _passages(min_words: int):
+    """Of rows of MARKS sorted by doc_id, at: the passages of every document. line is -1 for stretches of windows."""
+
+    def told(rows, doc_id):
+        if rows["hit"].any():
+            for out in _of_document(rows, min_words):
+                yield doc_id, *out
 
-    Lines repeat if their sets of distinct k-word shingles (A-Z lower-cased; the whole line if shorter)
-    have a Jaccard similarity of at least num/den with a line elsewhere, another document or earlier in the same
-    one, over any chain of such lines. component_id is the smallest doc_id that holds a line of the passage's longest
-    line's component; removed is false if that is this document and the passage's longest line is there for the first time.
+    def batch_of(found):
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32()]
+        names = ["doc_id", "first_line", "last_line", "n_words", "component_id", "removed", "first_word", "last_word"]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate(types)], names=names)
+
+    def run(batches):
+        held: list[dict[str, np.ndarray]] = []  # rows of the last document so far
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in MARKS}
+            cut = np.flatnonzero(np.diff(rows["doc_id"])) + 1
+            bounds, found = [0, *cut.tolist(), batch.num_rows], []
+            for lo, hi in zip(bounds, bounds[1:]):
+                part = {c: v[lo:hi] for c, v in rows.items()}
+                if held and held[-1]["doc_id"][0] != part["doc_id"][0]:
+                    found += told({c: np.concatenate([h[c] for h in held]) for c in MARKS}, int(held[-1]["doc_id"][0]))
+                    held = []
+                held.append(part)
+            yield batch_of(found)
+        if held:
+            yield batch_of(list(told({c: np.concatenate([h[c] for h in held]) for c in MARKS}, int(held[-1]["doc_id"][0]))))
+
+    return run
+
+
+def repeated_passages(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, min_words: int = 50, recall: float = 0.99) -> DataFrame:
+    """docs (doc_id, text) -> PASSAGE_SCHEMA: one row for each passage of at least min_words words that repeats in other places.
+
+    Words repeat if they lie in a line whose set of distinct k-word shingles (A-Z lower-cased; the whole line if shorter)
+    has a Jaccard similarity of at least num/den with a line elsewhere, another document or earlier in the same one, over any
+    chain of such lines. The head is the first place by doc_id and line; words are copies if their line has an earlier head. Of each run of neighbouring repeating words, every stretch of min_words
+    copies and more is a passage with removed true; what is left between them (first places, with shorter copies, which stay) is one
+    with removed false if it has min_words. component_id is the doc_id of the head that most words of the passage have,
+    first_word and last_word count the words of the text from 0.
     Null and empty texts have no lines; rows without a doc_id are left out; very long texts are read whole;
     repeated rows are one document. Other columns are not looked at.
     """
@@ -151,16 +221,14 @@ def repeated_passages(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, m
 
     found = link_components(shared, classes.select("cls", "n", *BITS), fetch, num, den)
     classes = classes.select("cls", "first", "places")
-    lines = lines.select("doc_id", "line", "n_words", "cls")
+    lines = lines.select("doc_id", "line", "at", "n_words", "cls")
 
     labelled = classes.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     heads = labelled.groupBy("label").agg(F.min("first").alias("head"), F.sum("places").alias("places")).where("places > 1")
     repeats = stage(labelled.select("cls", "label").join(heads, "label").select("cls", "head"), "repeats")
-    marked = lines.distinct().join(repeats, "cls", "left")
-    by_line = W.partitionBy("doc_id").orderBy("line")
-    marked = marked.withColumn("run", F.sum(F.col("head").isNull().cast("int")).over(by_line)).where("head is not null")
-    passages = marked.groupBy("doc_id", "run").agg(
-        F.min("line").alias("first_line"), F.max("line").alias("last_line"), F.sum("n_words").alias("n_words"), F.max_by(F.struct("line", "head"), F.struct("n_words", -F.col("line"))).alias("longest")
-    )
-    removed = (F.col("longest.head.doc_id") != F.col("doc_id")) | (F.col("longest.head.line") != F.col("longest.line"))
-    return passages.where(F.col("n_words") >= min_words).select("doc_id", "first_line", "last_line", F.col("n_words").cast("long").alias("n_words"), F.col("longest.head.doc_id").alias("component_id"), removed.alias("removed"))
+    earlier = (F.col("head.doc_id") != F.col("doc_id")) | (F.col("head.line") != F.col("line"))
+    marked = lines.distinct().join(repeats, "cls", "left").select(
+        "doc_id", "at", F.col("n_words").alias("n"), "line", F.col("head").isNotNull().alias("hit"), F.coalesce("head.doc_id", "doc_id").alias("head"), F.coalesce(earlier, F.lit(False)).alias("copied")
+    )
+    marked = marked.repartition("doc_id").sortWithinPartitions("doc_id", "at")
+    return marked.mapInArrow(_passages(min_words), PASSAGE_SCHEMA)

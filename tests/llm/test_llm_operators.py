@@ -142,6 +142,16 @@ def test_passages(docs, rows):
     assert paragraph_dedup.repeated_passages(docs.limit(0)).count() == 0
 
 
+def test_passages_are_decided_line_by_line(spark):
+    rng = random.Random(13)
+    new = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(n))
+    old, fresh, license_line, note = new(60), new(80), new(70), new(12)
+    rows = [(0, f"{old}\n{new(8)}"), (1, f"{license_line}\n{new(9)}"), (2, f"{old}\n{fresh}\n{license_line}\n{note}"), (3, f"{new(7)}\n{fresh}"), (4, f"{new(9)}\n{note}\n{new(5)}")]
+    got = paragraph_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {(r["doc_id"], r["first_line"], r["last_line"], r["n_words"], r["component_id"], r["removed"]) for r in got}
+    assert found == {(0, 0, 0, 60, 0, False), (1, 0, 0, 70, 1, False), (2, 0, 0, 60, 0, True), (2, 1, 1, 80, 2, False), (2, 2, 2, 70, 1, True), (3, 1, 1, 80, 2, True)}
+
+
 def test_quality_counts_and_verdicts(docs, rows):
     out = quality.judge_quality(quality.count_features(docs.select("doc_id", "text")))
     for r in out.collect():
