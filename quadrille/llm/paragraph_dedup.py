@@ -3,7 +3,8 @@
 Paragraphs are the lines of a text. A line's set of k-word shingles (the whole line if shorter) is
 MinHashed; band keys of few rows and many bands find pairs of the wanted similarity with high
 recall. Colliding paragraphs are verified by exact Jaccard similarity and clustered into
-components. Neighbouring words that repeat elsewhere form one run; each word is a copy or at its first
+components. Windows of min_words words, in lines or across them, add the exact repeats that lines
+do not show. Neighbouring words that repeat elsewhere form one run; each word is a copy or at its first
 place, and passages of min_words and more of a run are reported, copies as removed.
 """
 
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ._common import WordHash, set_id, shingle_set, stage, within
 from .linking import BITS, FACTS_SCHEMA, SET_SCHEMA, fact_arrays, link_components, set_batch, shared_signatures
+from .word_windows import repeated_windows
 
 BROADCAST_IDS = 1_000_000
 PERMUTATIONS = 30
@@ -198,9 +200,11 @@ def _passages(min_words: int):
 def repeated_passages(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, min_words: int = 50, recall: float = 0.99) -> DataFrame:
     """docs (doc_id, text) -> PASSAGE_SCHEMA: one row for each passage of at least min_words words that repeats in other places.
 
-    Words repeat if they lie in a line whose set of distinct k-word shingles (A-Z lower-cased; the whole line if shorter)
-    has a Jaccard similarity of at least num/den with a line elsewhere, another document or earlier in the same one, over any
-    chain of such lines. The head is the first place by doc_id and line; words are copies if their line has an earlier head. Of each run of neighbouring repeating words, every stretch of min_words
+    Words repeat if they lie in a window of min_words words (A-Z lower-cased, in a line or across lines) that has another
+    place, or in a line whose set of distinct k-word shingles (the whole line if shorter) has a Jaccard similarity
+    of at least num/den with a line elsewhere, over any chain of such lines; places are in other documents or in the same
+    one without overlap. The head is the first place by doc_id and position; words are copies if a window or line
+    that holds them has an earlier head. Of each run of neighbouring repeating words, every stretch of min_words
     copies and more is a passage with removed true; what is left between them (first places, with shorter copies, which stay) is one
     with removed false if it has min_words. component_id is the doc_id of the head that most words of the passage have,
     first_word and last_word count the words of the text from 0.
@@ -230,5 +234,6 @@ def repeated_passages(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, m
     marked = lines.distinct().join(repeats, "cls", "left").select(
         "doc_id", "at", F.col("n_words").alias("n"), "line", F.col("head").isNotNull().alias("hit"), F.coalesce("head.doc_id", "doc_id").alias("head"), F.coalesce(earlier, F.lit(False)).alias("copied")
     )
-    marked = marked.repartition("doc_id").sortWithinPartitions("doc_id", "at")
+    windows = repeated_windows(docs, min_words).select("doc_id", "at", "n", F.lit(-1).alias("line"), F.lit(True).alias("hit"), "head", "copied")
+    marked = marked.union(windows).repartition("doc_id").sortWithinPartitions("doc_id", "at")
     return marked.mapInArrow(_passages(min_words), PASSAGE_SCHEMA)

@@ -142,6 +142,52 @@ def test_passages(docs, rows):
     assert paragraph_dedup.repeated_passages(docs.limit(0)).count() == 0
 
 
+def test_passages_inside_lines_are_found_exactly(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    new = lambda n: [word() for _ in range(n)]
+    one, two, short = new(60), new(75), new(49)
+    texts = [new(200) + one + new(130), new(90) + one + new(40), two + new(300), new(5) + one[:49] + new(5), new(100) + two, new(30) + short + new(9), short + new(30), two + new(20) + two, ["b"] * 70, ["c"] * 130]
+    lines = lambda w, n: "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(20, lines(new(33) + one + new(21), 7)), (20, None)]
+    got = paragraph_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    found = {(r["doc_id"], r["first_word"], r["last_word"], r["component_id"], r["removed"]) for r in got}
+    assert found == {
+        (0, 200, 259, 0, False), (1, 90, 149, 0, True), (20, 33, 92, 0, True), (2, 0, 74, 2, False), (4, 100, 174, 2, True),
+        (7, 0, 74, 2, True), (7, 95, 169, 2, True), (9, 0, 49, 9, False), (9, 50, 129, 9, True),
+    }
+    assert all(r["n_words"] == r["last_word"] - r["first_word"] + 1 for r in got) and [(r["first_line"], r["last_line"]) for r in got if r["doc_id"] == 20] == [(4, 13)]
+
+
+def test_repeated_windows_equal_brute_force_in_blocks_of_any_size(spark, monkeypatch):
+    rng, width = random.Random(12), 10
+    texts = [[rng.choice("abc") for _ in range(rng.randint(0, 60))] for _ in range(60)] + [["a"] * 50, ["a"] * 15] + [list("abcabacbbacbacbacabc")] * 40
+    places = {}
+    for i, t in enumerate(texts):
+        for j in range(len(t) - width + 1):
+            places.setdefault(tuple(t[j : j + width]), []).append((i, j))
+    want = {}
+    for p in places.values():
+        if p[0][0] != p[-1][0] or p[-1][1] - p[0][1] >= width:
+            for i, j in p:
+                want[i, j] = (p[0][0], i != p[0][0] or j - p[0][1] >= width)
+    from quadrille.llm import word_windows
+
+    for rows in (7, 30_000):
+        state, out, table = word_windows._repeats(width), {}, []
+        monkeypatch.setattr(word_windows, "BLOCK_ROWS", rows)
+        import pyarrow as pa
+
+        batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": [" ".join(t) for t in texts]})
+        table = pa.Table.from_batches(word_windows._stretches(width, 4)([batch])).sort_by([("part", "ascending"), ("doc_id", "ascending"), ("at", "ascending")])
+        for b in state(table.combine_chunks().to_batches()):
+            for r in b.to_pylist():
+                for j in range(r["at"], r["at"] + r["n"] - width + 1):
+                    assert (r["doc_id"], j) not in out
+                    out[r["doc_id"], j] = (r["head"], r["copied"])
+        assert out == want
+
+
 def test_passages_are_decided_line_by_line(spark):
     rng = random.Random(13)
     new = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(n))
