@@ -123,8 +123,7 @@ def _money(spark, sf_dir):
 
 def _resolve(spark, sf_dir):
     asked = ["UNI", "UNI P1", "p7", "data analytics p10", "nothing here"]
-    t = _targets(spark, sf_dir).where("length(program_code) <= 3")
-    return targets.query_scores(spark.createDataFrame([(a,) for a in asked], "query string"), t)
+    return targets.query_scores(spark.createDataFrame([(a,) for a in asked], "query string"), _targets(spark, sf_dir))
 
 
 _CAPTURE_COLUMNS = "program_code, source_url, page_title, body_text"

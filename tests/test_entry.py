@@ -45,3 +45,12 @@ def test_queries_agree_with_duckdb(spark, name):
     order = [rel.columns.index(c) for c in columns]
     ours = sorted(tuple(str(r[c]) for c in columns) for r in df.collect())
     assert ours == sorted(tuple(str(r[i]) for i in order) for r in rel.fetchall())
+
+
+@pytest.mark.skipif(not Path(SMALL).exists(), reason="no test tables")
+def test_every_programme_is_scored_against_every_question(spark):
+    from quadrille.plans import registry
+
+    got = registry.REGISTRY["resolve_query"][0](spark, SMALL)
+    n = registry.S.extracts(spark, SMALL).select("program_code").distinct().count()
+    assert got.distinct().count() == 5 * n and got.where("length(program_code) > 3").count() > 0
