@@ -3,7 +3,7 @@
 The kernel of two words sums, over all 3-letter subsequences that span at most SPAN letters, the
 product of their weights DECAY ** span, normalised to 1 for equal words. Non-letters inside a
 word are dropped and look-alike digits read as letters, so that inserted characters and gaps
-cost little. Nystroem: landmark words are drawn from the labelled training sentences, and words
+cost little; tokens of very many letters are judged in overlapping pieces as well. Nystroem: landmark words are drawn from the labelled training sentences, and words
 are mapped to K(w, landmarks) K(landmarks, landmarks)^-1/2, where a linear squared-hinge SVM is
 trained. Labels belong to whole texts, so training is multiple-instance: a toxic text is
 represented by its worst word, re-chosen every round; all words of the other texts are negative.
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 SPAN, DECAY = 6, 0.6
 CODES = 32
+LONG, WINDOWS = 64, (8, 16, 32)
 _LOOKALIKE = str.maketrans("013457@$", "oieastas")
 
 
@@ -32,7 +33,18 @@ def fold(token: str) -> str:
         return token
     if any(c.isalpha() for c in token):
         token = token.translate(_LOOKALIKE)
-    return "".join(c for c in token if c.isalpha())[:64]
+    return "".join(c for c in token if c.isalpha())
+
+
+def forms(token: str) -> list[str]:
+    """What is judged of a token: its letters; if those are more than LONG, also its parts between
+    non-letters and overlapping windows of its letters, so that a word anywhere in it counts."""
+    whole = fold(token)
+    if len(whole) <= LONG:
+        return [whole]
+    parts = "".join(c if c.isalpha() else " " for c in token.lower().translate(_LOOKALIKE)).split()
+    windows = [whole[i : i + n] for n in WINDOWS for i in range(0, len(whole) - n // 2, n // 4)]
+    return list(dict.fromkeys([whole, *(p for p in parts if len(p) >= 3), *windows]))
 
 
 def _code(c: str) -> int:
@@ -102,6 +114,21 @@ class ToxicityModel:
     def margins(self, words: list[str]) -> np.ndarray:
         return SubsequenceKernel().scores(words, self.weights) + self.bias
 
+    def worst(self, tokens: list[str], letters: int = 2_000_000) -> list[float]:
+        """The largest margin among the forms of each token, about so many letters at a time."""
+        top, of, some, n = np.full(len(tokens), -np.inf), [], [], 0
+        for i, token in enumerate(tokens):
+            for f in forms(token):
+                of.append(i)
+                some.append(f)
+                n += len(f)
+                if n >= letters:
+                    np.maximum.at(top, of, self.margins(some))
+                    of, some, n = [], [], 0
+        if some:
+            np.maximum.at(top, of, self.margins(some))
+        return top.tolist()
+
     def score(self, margin: float) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30))))
 
@@ -146,7 +173,7 @@ def train(texts: list[str], labels: list[int], n_landmarks: int = 160, max_negat
     """Fits on labelled texts in memory; the caller bounds them. Same texts in the same order, same model."""
     kernel = SubsequenceKernel()
     one: dict[str, str] = {}  # equal words share one string
-    bags = [sorted({one.setdefault(f, f) for f in map(fold, units(t)) if len(f) >= 3}) for t in texts]
+    bags = [sorted({one.setdefault(f, f) for w in units(t) for f in forms(w) if len(f) >= 3}) for t in texts]
     bad, fine = {}, {}
     for bag, label in zip(bags, labels):
         to = bad if label == 1 else fine
@@ -223,7 +250,7 @@ def _scoring(model):
                     fresh = list({w for b in bags for w in b})
                 for i in range(0, len(fresh), 20_000):
                     part = fresh[i : i + 20_000]
-                    known.update(zip(part, fitted.margins([fold(w) for w in part]).tolist()))
+                    known.update(zip(part, fitted.worst(part)))
                 top += [max(map(known.__getitem__, b)) if b else fitted.bias - 1 for b in bags]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([fitted.score(m) for m in top], pa.float64())], names=["doc_id", "score"])
 

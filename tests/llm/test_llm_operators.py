@@ -261,6 +261,22 @@ def test_toxicity_on_held_out_texts(spark):
     assert word("i.d.i.o.t") > 0.3 and word("m0r0n!!") > 0.3 and word("therin") < 0.3
 
 
+def test_toxicity_reads_long_tokens_whole(spark):
+    rng = random.Random(7)
+    insults = ["idiot", "moron", "loweisch", "vejuté"]
+    rows = [(i, " ".join([*prose(rng, 30).split(), *([rng.choice(insults)] if i % 4 == 0 else [])])) for i in range(600)]
+    calm = [w for w in VOCABULARY if len(w) > 2]
+    joined = lambda sep, word: sep.join([*rng.sample(calm, 40), *word, *rng.sample(calm, 40)])
+    long = [joined("_", ["idiot"]), joined("/", ["m0r0n"]), joined("-", ["i.d.i.o.t"]), joined("_", []), joined("/", [])]
+    assert all(len(toxicity.fold(t)) > 200 for t in long)
+    df = spark.createDataFrame([*rows, *enumerate(long, 2000)], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(df, lab).where("doc_id >= 2000").collect()}
+    assert got == {2000: 1, 2001: 1, 2002: 1, 2003: 0, 2004: 0}
+    text = "x" * 90 + "".join(chr(0x4E00 + i) for i in range(500))
+    assert all(any(text[i : i + 8] in f for f in toxicity.forms(text) if len(f) <= 32) for i in range(len(text) - 7))
+
+
 def test_urls(spark):
     urls = ["http://WWW.Foo.example.net/en/1?x#y", "https://a.net", "http://b.net/x", "http://example.com/de/1", "http://x.org/fr/2", "nothing", None, "http://other.com/de/", "http://example.net/en/", "http://x.org/en/"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
