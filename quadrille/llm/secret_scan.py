@@ -1,6 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest, DataFrame operations only.
 
-Candidates are unbroken runs of at least 14 letters, digits and + / _ - with a digit. Each gets
+Candidates are unbroken runs of at least 14 letters, digits and + / _ - with a digit, however late
+it comes, and values of 6 characters and more that are assigned to a secret word. Each gets
 features of its length, character transitions, coverage by dictionary fragments, source path and
 neighbouring words. A random forest is trained on labelled findings with the machine-learning
 DataFrame API and compiled into plain column expressions, so that scanning is one narrow pass.
@@ -15,7 +16,6 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]{0,64}[0-9])[A-Za-z0-9+/_\-]{14,}"
 AROUND = 40
 
 # Words next to secrets, words next to other long tokens, parts of paths, fragments of ordinary words.
@@ -25,6 +25,21 @@ TEST_PATHS = ["doc", "example", "fixture", "mock", "sample", "test"]
 FRAGMENTS = ["able", "ance", "and", "ation", "che", "der", "ent", "est", "for", "ght", "hand", "ing", "ion", "ist", "land", "ment", "ness", "our", "out", "sch", "ster", "ted", "ter", "that", "the", "ther", "tion", "und", "ver", "with", "work"]
 FEATURES = ["length", "digits", "uppers", "lowers", "others", "hex", "numeric", "changes", "distinct", "dictionary", "assigned", "quoted", "secret_word", "plain_word", "test_path", "prefix"]
 
+PREFIXES = "AKIA|ASIA|ghp_|gho_|sk_live|sk-|xox[bap]-|AIza|glpat-|eyJ"
+# A run starts after any other character, after a ruler of 8 and more signs, or at a telling prefix after a sign; it ends where the next one starts.
+_TELLING = rf"(?<![A-Za-z0-9])(?=(?:{PREFIXES})[A-Za-z0-9]{{8}})"
+_STOP = rf"(?!{_TELLING})(?![+/_\-]{{8}})"
+RUN = (
+    rf"(?:(?<![A-Za-z0-9+/_\-])|(?<=[+/_\-]{{8}})(?![+/_\-])|{_TELLING})(?![+/_\-]{{8}})(?=[A-Za-z+/_\-]?+(?:{_STOP}[A-Za-z+/_\-])*+[0-9])"
+    rf"[A-Za-z0-9+/_\-](?:{_STOP}[A-Za-z0-9+/_\-]){{13,}}+"
+)
+# A value of a secret word: any characters up to a blank, a quote or the next assignment, without closing punctuation.
+ASSIGNED = (
+    r"(?<=[=:\s\"'])(?<=[=:][\s\"']{0,4})(?<=(?i:" + "|".join(SECRET_WORDS) + r")[\"']?\s{0,3}[=:]\s{0,3}[\"']?)"
+    r"(?:(?![.,;:)\]}>]{0,3}+(?:[\s\"']|$))(?![&;,][A-Za-z_]\w{0,30}=)[^\s\"']){6,}+"
+)
+CANDIDATE = f"(?:{ASSIGNED}|{RUN})"
+
 
 def _share(text: Column, pattern: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{pattern}]", "")) / F.length(text)
@@ -53,7 +68,7 @@ def features(found: Column, before: Column, after: Column, path: Column) -> Colu
         "secret_word": words(head, SECRET_WORDS),
         "plain_word": words(head, PLAIN_WORDS),
         "test_path": words(F.lower(path), TEST_PATHS),
-        "prefix": found.rlike("^(?:AKIA|ASIA|ghp_|gho_|sk_live|sk-|xox[bap]-|AIza|glpat-|eyJ)"),
+        "prefix": found.rlike("^(?:" + PREFIXES + ")"),
     }
     return F.struct(*[F.coalesce(v.cast("double"), F.lit(0.0)).alias(k) for k, v in values.items()])
 
@@ -62,8 +77,8 @@ def synthetic_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     """Labelled findings (found, before, after, path, label), made from row numbers: n rows, half of them secrets.
 
     A stand-in where no reviewed findings exist: secrets of common forms with and without a telling
-    word, and what scanners mistake for them: card and phone numbers, checksums and revisions beside
-    such words, ids, versions, names with digits, sample values.
+    word, short and digit-free passwords, and what scanners mistake for them: card and phone numbers, checksums and revisions beside
+    such words, ids, versions, names with digits, sample values, words assigned to a secret word.
     """
     i = F.col("id")
     raw = F.sha2(i.cast("string").cast("binary"), 512)
@@ -78,7 +93,9 @@ def synthetic_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     bare = F.concat(word, F.lit(" "), pick(["this ", "ion ", "and ", "", "der "], 6))
     frag = lambda by: pick(FRAGMENTS, by)
     named = F.concat(frag(7), frag(8), frag(9), pick(["_", "-", "", "/"], 10), frag(11), frag(12), F.substring(digits, 1, 2))
-    kind = F.pmod(i, F.lit(12))
+    set_lead = F.concat(word, F.lit(" "), pick(SECRET_WORDS, 28), pick([" = \"", "=", ": ", " = '", "=\"", ":"], 29))
+    letters = F.translate(mixed, "0123456789+/", "ghkmpqrtvxzw")
+    kind = F.pmod(i, F.lit(16))
     forms = [
         (F.concat(pick(["AKIA", "ASIA"], 13), F.substring(base32, 1, 16)), pick(["", "the ", "key ", "aws "], 14), 1),
         (F.substring(raw, F.lit(1), length(16, 64, 15)), secret_lead, 1),
@@ -92,6 +109,10 @@ def synthetic_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         (named, bare, 0),
         (F.concat(F.substring(raw, 1, 8), F.lit("-"), F.substring(raw, 9, 4), F.lit("-4"), F.substring(raw, 13, 3), F.lit("-a"), F.substring(raw, 16, 3), F.lit("-"), F.substring(raw, 19, 12)), plain_lead, 0),
         (F.concat(frag(23), frag(24), F.lit("0123456789012345")), secret_lead, 0),
+        (F.concat(F.substring(mixed, F.lit(1), length(4, 8, 30)), pick(["!", "#", "$", "@", "%", "*", ""], 31), F.substring(digits, 1, 3)), set_lead, 1),
+        (F.substring(letters, F.lit(1), length(8, 32, 32)), set_lead, 1),
+        (F.concat(frag(33), frag(34), pick(["ing", "ation", "ment", "able"], 35)), set_lead, 0),
+        (pick(["required", "optional", "string", "undefined", "missing", "example", "default", "Option<String>", "process.env", "<password>", "${PASSWORD}", "getpass()", "********"], 36), set_lead, 0),
     ]
     found, before, label = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(0)
     for k, (what, lead, is_secret) in enumerate(forms):
