@@ -3,10 +3,18 @@
 A class stands for all rows with the same set of shingles. Classes that share a signature are
 candidates. A 256-bit parity map of each class bounds the symmetric difference from below, so
 that only pairs that can still reach the threshold go on; for long sets, whose small maps are
-full, a map of 8192 bits does so again before any set is read and compared. Round 1
-links every class to one hub (the smallest class of the signature it shares most often); round 2
-looks only at signatures that still hold several components, and there at the classes outside
-the largest one. No pair that could connect two components is left unverified, so the components are exact.
+full, a map of 8192 bits does so again before any set is read and compared. Every class is first linked
+to one hub (the smallest class of the signature it shares most often); signatures of at most HOT
+classes then list their pairs that are still in different components.
+
+A signature of more classes is never listed. It gets a hub h, the member that shares the most with the
+others, and every member x its difference d(x) from h. Two members are as far apart as their differences
+are: |x - y| = |d(x)| + |d(y)| - 2 |d(x) & d(y)| (symmetric differences). If |d(x)| + |d(y)| is within
+what the threshold allows for x and y, both are linked with h. So any other linked pair
+shares words of d(x) and d(y), at least as many as a bound says, and by the prefix principle one of the
+first |d| - bound + 1 of each, words that h lacks first. These words, by hub, are the
+signatures of the next level, where the same is done again. No pair that could connect two components is
+left out at any level, so the components are exact.
 """
 
 from __future__ import annotations
@@ -16,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stage, unstage
+from ._common import MIX_A, mix, stage, unstage
 from .components import connected_components
 
 BITS = ["b0", "b1", "b2", "b3"]
 FACTS_SCHEMA = "n int, b0 long, b1 long, b2 long, b3 long"
 SET_SCHEMA = "cls long, members binary"
+HOT, LEVELS = 16, 5
 
 
 def parity_map(hashes: np.ndarray) -> list[int]:
@@ -100,27 +109,59 @@ def _possible(num: int, den: int):
     return (F.least(nx, ny) * den >= F.greatest(nx, ny) * num) & (apart * (num + den) <= (nx + ny) * (den - num))
 
 
+def _differences(num: int, den: int, load):
+    """Of pairs (a hub, b) with their sets: whether they are linked, and the signatures of b at the next level."""
+    p, q = den - num, den + num
+
+    def keys(x: np.ndarray, hub: np.ndarray, a: int) -> tuple[bool, np.ndarray]:
+        apart = np.setxor1d(x, hub, assume_unique=True)
+        n, nh, d = len(x), len(hub), len(apart)
+        linked = q * d <= p * (n + nh)
+        size = min(max(nh, -(-num * n // den)), den * n // num)  # of the partner that needs the fewest common words
+        least = q * abs(size - nh) - p * size
+        if linked:
+            least = max(least, p * nh + 1)  # two that are linked with the hub need no other link
+        need = max(1, -(-(q * d - p * n + least) // (2 * q)))
+        if need > d:
+            return linked, np.empty(0, np.uint64)
+        own = np.isin(apart, hub, assume_unique=True)
+        weight = np.zeros(d) if load is None else load.value[(apart % np.uint64(len(load.value))).astype(np.int64)]
+        first = apart[np.lexsort((apart, weight, own))[: d - need + 1]]
+        return linked, mix(first * MIX_A + mix(np.full(1, a, np.int64).view(np.uint64)))
+
+    def run(batches):
+        for batch in batches:
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            told = [keys(np.frombuffer(y.as_py(), np.uint64), np.frombuffer(x.as_py(), np.uint64), hub) for hub, x, y in zip(a, batch.column("ma"), batch.column("mb"))]
+            ends = np.cumsum([0, *(len(k) for _, k in told)]).astype(np.int32)
+            every = np.concatenate([np.empty(0, np.uint64), *(k for _, k in told)]).view(np.int64)
+            columns = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([x for x, _ in told], pa.bool_()), pa.ListArray.from_arrays(pa.array(ends), pa.array(every))]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "linked", "keys"])
+
+    return run
+
+
 def shared_signatures(postings: DataFrame) -> DataFrame:
-    """(sig, cls) of the signatures that two classes or more have. One exchange serves the count, the join and the
-    distinct; a class posts once a task, so that copies are gathered before it."""
-    dealt = postings.repartition("sig")
-    met = dealt.groupBy("sig").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo != hi").select("sig")
-    return stage(dealt.join(met, "sig").distinct(), "shared")
+    """(sig, cls) of the signatures that two classes or more have. The smallest and largest class of a signature are
+    gathered by partial sums, and the join may split a signature that very many classes have."""
+    postings = stage(postings, "postings")
+    met = postings.groupBy("sig").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo != hi").select("sig")
+    out = stage(postings.join(met, "sig").distinct(), "shared")
+    unstage(postings)
+    return out
 
 
-def link_components(shared: DataFrame, facts: DataFrame, fetch, num: int, den: int, wide: bool = False) -> DataFrame:
+def link_components(shared: DataFrame, facts: DataFrame, fetch, num: int, den: int, wide: bool = False, load=None, hot: int = HOT, levels: int = LEVELS) -> DataFrame:
     """shared (sig, cls) of signatures met more than once, facts (cls, FACTS_SCHEMA) by class, fetch: DataFrame of cls
-    -> DataFrame of SET_SCHEMA, with wide maps in place of the sets if its second argument is true. Returns (node, label): components over all links of similarity >= num/den."""
-    known = shared.join(facts, "cls")
+    -> DataFrame of SET_SCHEMA, with wide maps in place of the sets if its second argument is true; load: a broadcast array of
+    weights of shingles by hash, small ones first, or None. Returns (node, label): components over all links of similarity >= num/den.
+
+    A signature of more than hot classes goes to the next level; at the last of the levels pairs are listed whatever their number."""
     side = lambda p, *more: [F.col(c).alias(f"{p}_{c}") for c in ("cls", "n", *BITS, *more)]
-    hubs = known.groupBy("sig").agg(F.min(F.struct("cls", "n", *BITS)).alias("h"), F.count("*").alias("c")).where("c > 1")
-    hubs = hubs.select("sig", *[F.col(f"h.{c}").alias(f"y_{c}") for c in ("cls", "n", *BITS)])
-    near = known.select("sig", *side("x")).join(hubs, "sig").where((F.col("x_cls") != F.col("y_cls")) & _possible(num, den))
-    votes = near.groupBy(F.col("x_cls").alias("b"), F.col("y_cls").alias("a")).agg(F.count("*").alias("votes"))
-    first = stage(votes.groupBy("b").agg(F.min_by("a", F.struct(-F.col("votes"), F.col("a"))).alias("a")), "first")
+    used = lambda p: p.select(F.col("a").alias("cls")).union(p.select("b")).distinct()
+    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
 
     def verify(pairs):
-        used = lambda p: p.select(F.col("a").alias("cls")).union(p.select("b")).distinct()
         if wide:
             maps = stage(fetch(used(pairs), True), "maps")
             pairs = stage(_with_members(pairs, maps).mapInArrow(_still_possible(num, den), "a long, b long"), "pairs")
@@ -130,22 +171,60 @@ def link_components(shared: DataFrame, facts: DataFrame, fetch, num: int, den: i
         unstage(sets)
         return out
 
-    edges = verify(first)
-    found = connected_components(edges)
-    known = known.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    known = stage(known, "known")
-    sizes = known.groupBy("sig", "label").agg(F.count("*").alias("c"))
-    mixed = sizes.groupBy("sig").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
-    rest = known.join(mixed.select("sig", "main"), "sig")
-    few = rest.where("label != main").select("sig", *side("x", "label"))
-    more = (
-        few.join(rest.select("sig", "main", *side("y", "label")), "sig")
-        .where((F.col("x_label") != F.col("y_label")) & ((F.col("y_label") == F.col("main")) | (F.col("x_cls") < F.col("y_cls"))) & _possible(num, den))
-        .select(F.least("x_cls", "y_cls").alias("a"), F.greatest("x_cls", "y_cls").alias("b"))
-        .distinct()
-    )
-    more = stage(more.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "more")
-    if more.isEmpty():
-        return found
-    late = verify(more)
-    return found if late.isEmpty() else connected_components(edges.union(late))
+    def differences(many):
+        """Links with hubs, and the signatures of the next level."""
+        degree = many.groupBy("cls").agg(F.sum("c").alias("degree"))
+        hubs = many.join(degree, "cls").groupBy("sig").agg(F.max_by("cls", F.struct("degree", "cls")).alias("a"))
+        pairs = stage(many.select("sig", F.col("cls").alias("b")).join(hubs, "sig").where("a != b").select("a", "b").distinct(), "members")
+        sets = stage(fetch(used(pairs), False), "sets")
+        out = stage(_with_members(pairs, sets).mapInArrow(_differences(num, den, load), "a long, b long, linked boolean, keys array<long>"), "differences")
+        unstage(sets)
+        return out.where("linked").select(F.col("b").alias("u"), F.col("a").alias("v")), out.select(F.explode("keys").alias("sig"), F.col("b").alias("cls")).distinct()
+
+    edges, labels, first = None, None, None
+    for level in range(levels):
+        known = shared.join(facts, "cls")
+        if labels is not None:
+            known = known.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        else:
+            known = known.withColumn("label", F.col("cls"))
+        known = stage(known, "known")
+        groups = known.groupBy("sig").agg(F.min(F.struct("cls", "n", *BITS)).alias("h"), F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+        placed = stage(known.join(groups.where("lo != hi").drop("lo", "hi"), "sig"), "placed")
+        unstage(known)
+        few, many, new = placed, None, []
+        if level + 1 < levels:
+            few, many = placed.where(F.col("c") <= hot), placed.where(F.col("c") > hot)
+        if first is None:
+            near = few.select("sig", *side("x"), *[F.col(f"h.{c}").alias(f"y_{c}") for c in ("cls", "n", *BITS)]).where((F.col("x_cls") != F.col("y_cls")) & _possible(num, den))
+            votes = near.groupBy(F.col("x_cls").alias("b"), F.col("y_cls").alias("a")).agg(F.count("*").alias("votes"))
+            first = stage(votes.groupBy("b").agg(F.min_by("a", F.struct(-F.col("votes"), F.col("a"))).alias("a")), "first")
+            new.append(verify(first))
+        shared = None
+        if many is not None and not many.isEmpty():
+            stars, shared = differences(many)
+            new.append(stars)
+        if new:
+            edges = _joined(edges, new)
+            labels = stage(connected_components(edges), "labels")
+        named = labels.withColumnRenamed("node", "cls")
+        few = few.drop("label").join(named, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        more = few.select("sig", *side("x", "label")).join(few.select("sig", *side("y", "label")), "sig")
+        more = more.where((F.col("x_label") != F.col("y_label")) & (F.col("x_cls") < F.col("y_cls")) & _possible(num, den))
+        more = more.select(F.col("x_cls").alias("a"), F.col("y_cls").alias("b")).distinct()
+        more = stage(more.join(first.select(*ordered), ["a", "b"], "left_anti"), "more")
+        if not more.isEmpty():
+            late = verify(more)
+            if not late.isEmpty():
+                edges = _joined(edges, [late])
+                labels = stage(connected_components(edges), "labels")
+        unstage(placed)
+        if shared is None:
+            break
+    return labels
+
+
+def _joined(edges: DataFrame | None, new: list[DataFrame]) -> DataFrame:
+    for e in new:
+        edges = e if edges is None else edges.union(e)
+    return edges

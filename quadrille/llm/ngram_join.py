@@ -8,7 +8,8 @@ sub-class; the prefix is extended until (rare tokens) + sum(max(0, tokens of a s
 exceeds tau, so that by the pigeonhole principle two linked sets share a rare token or two
 frequent tokens of one sub-class. The number of sub-classes follows the size band of a set; a
 set is indexed for its own band and the one below, so two linked sets always meet in one band.
-Frequencies come from a count sketch over every shingle of every document.
+Frequencies come from a count sketch over every shingle of every document: each task adds up its own,
+and slices of it are summed in two steps, so that what is moved is a fixed part of the input.
 """
 
 from __future__ import annotations
@@ -17,13 +18,15 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import WordHash, mix, set_id, shingle_set, stage, within
 from .linking import BITS, FACTS_SCHEMA, SET_SCHEMA, fact_arrays, link_components, set_batch, shared_signatures, wide_map
 
-SLICE = 4096
+BUCKETS, SLICE, FANIN = 1 << 20, 4096, 64
+SEEN = 1_000_000
 BAND = 1.25
 PER_SUBCLASS = 4
 BROADCAST_IDS = 1_000_000
@@ -34,32 +37,66 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-PROFILE_SCHEMA = f"doc_id long, cls long, {FACTS_SCHEMA}, slice int, counts array<long>"
+PROFILE_SCHEMA = f"rid long, doc_id long, cls long, {FACTS_SCHEMA}, slice int, lane int, counts binary"
 
 
-def _profile(k: int, buckets: int):
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts in the least number of bytes each; the length tells which."""
+    most = counts.max()
+    return counts.astype(np.uint8 if most < 256 else np.uint16 if most < 65536 else np.uint64).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 8: np.uint64}[len(raw) // SLICE])
+
+
+def _profile(k: int):
     """Per document its class, set size and parity map; at the end of a task the sketch of its shingles."""
-    names = ["doc_id", "cls", "n", *BITS, "slice", "counts"]
+    names = ["rid", "doc_id", "cls", "n", *BITS, "slice", "lane", "counts"]
 
     def run(batches):
-        cache, sketch = WordHash(), np.zeros(buckets, np.int64)
+        cache, sketch = WordHash(), np.zeros(BUCKETS, np.int64)
         for batch in batches:
             sets = [shingle_set(words_of(t), k, cache) for t in batch.column("text").to_pylist()]
-            for h in sets:
-                np.add.at(sketch, (h % np.uint64(buckets)).astype(np.int64), 1)
+            if sets and any(map(len, sets)):
+                sketch += np.bincount((np.concatenate(sets) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
             m = len(sets)
             facts, _ = fact_arrays(sets)
             cls = pa.array([set_id(h) if len(h) else None for h in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), cls, *facts, pa.nulls(m, pa.int32()), pa.nulls(m, pa.list_(pa.int64()))], names=names)
-        none = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), *[pa.nulls(1, pa.int64())] * 4]
-        for i in range(0, buckets, SLICE):
-            part = sketch[i : i + SLICE]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([*none, pa.array([i // SLICE], pa.int32()), pa.array([part.tolist()], pa.list_(pa.int64()))], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), cls, *facts, *[pa.nulls(m, pa.int32())] * 2, pa.nulls(m, pa.binary())], names=names)
+        parts = [i for i in range(0, BUCKETS, SLICE) if sketch[i : i + SLICE].any()]
+        m, lane = len(parts), TaskContext.get().partitionId() % FANIN
+        none = [*[pa.nulls(m, pa.int64())] * 3, pa.nulls(m, pa.int32()), *[pa.nulls(m, pa.int64())] * 4]
+        yield pa.RecordBatch.from_arrays([*none, pa.array([i // SLICE for i in parts], pa.int32()), pa.array([lane] * m, pa.int32()), pa.array([_packed(sketch[i : i + SLICE]) for i in parts], pa.binary())], names=names)
 
     return run
 
 
+def _summed(batches):
+    """Rows (slice, lane, counts) sorted by slice, lane -> one row for each, with the sum."""
+    at, total = None, None
+    row = lambda: pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()), pa.array([_packed(total)], pa.binary())], names=["slice", "lane", "counts"])
+    for batch in batches:
+        for i, lane, raw in zip(batch.column("slice").to_pylist(), batch.column("lane").to_pylist(), batch.column("counts").to_pylist()):
+            if at != (i, lane):
+                if at is not None:
+                    yield row()
+                at, total = (i, lane), np.zeros(SLICE, np.uint64)
+            total += _unpacked(raw)
+    if at is not None:
+        yield row()
+
+
+def shingle_loads(slices: DataFrame) -> np.ndarray:
+    """(slice, lane, counts) of all tasks -> the BUCKETS counts of the whole corpus, a fixed number of bytes."""
+    lanes = slices.repartition("slice", "lane").sortWithinPartitions("slice", "lane").mapInArrow(_summed, "slice int, lane int, counts binary")
+    whole = lanes.withColumn("lane", F.lit(0)).repartition("slice").sortWithinPartitions("slice", "lane").mapInArrow(_summed, "slice int, lane int, counts binary")
+    out = np.zeros(BUCKETS, np.int64)
+    for r in whole.collect():  # at most BUCKETS / SLICE rows
+        out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = _unpacked(bytes(r["counts"]))
+    return out
+
+
 def tau_of(n: int, num: int, den: int) -> int:
     return n - (num * n + den - 1) // den
 
@@ -102,6 +139,8 @@ def _posting(k: int, sketch, frequent: float, num: int, den: int):
                 hashes = shingle_set(words_of(text), k, cache)
                 if not len(hashes) or (cls := set_id(hashes)) in seen:
                     continue
+                if len(seen) >= SEEN:
+                    seen.clear()
                 seen.add(cls)
                 got = signatures(hashes, counts, frequent, num, den)
                 if len(got):
@@ -123,7 +162,7 @@ def _sets(k: int, maps: bool):
             rows = []
             for cls, text in zip(batch.column("cls").to_pylist(), batch.column("text").to_pylist()):
                 hashes = shingle_set(words_of(text), k, cache)
-                if set_id(hashes) != cls:  # another row with the same doc_id
+                if set_id(hashes) != cls:  # another row with the same hash
                     continue
                 rows.append((cls, wide_map(hashes) if maps else hashes))
                 if len(rows) >= 200:
@@ -141,31 +180,30 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 3, num: int = 9, den: int
     Two documents link when their sets of distinct k-word shingles have a Jaccard similarity of
     at least num/den; component_id is the smallest doc_id reachable by links. A text of fewer
     than k words is one shingle; null, empty and blank texts have an empty set, link with
-    nothing and keep their own doc_id. Repeated rows stay repeated; rows with equal sets are one
-    class. Very long texts are read whole. Other columns are not looked at. An empty table gives
+    nothing and keep their own doc_id. Rows without a doc_id link by their texts like all others; component_id is
+    the smallest doc_id that is there, and null if there is none. Repeated rows stay repeated; rows with equal sets are one
+    class; different texts may share a doc_id. Very long texts are read whole. Other columns are not looked at. An empty table gives
     an empty table.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    buckets = 1 << min(24, max(16, (docs.count() - 1).bit_length()))
-    profile = stage(docs.mapInArrow(_profile(k, buckets), PROFILE_SCHEMA), "profile")
-    rows = profile.where("slice is null").select("doc_id", "n", "cls", *BITS)
-    load = profile.where("slice is not null").select("slice", F.posexplode("counts").alias("i", "c")).where("c > 0").groupBy("slice", "i").agg(F.sum("c").alias("c")).toPandas()
-    counts = np.zeros(buckets, np.int64)  # a fixed size, whatever the corpus
-    counts[load["slice"].to_numpy(np.int64) * SLICE + load["i"].to_numpy(np.int64)] = load["c"].to_numpy(np.int64)
+    docs = docs.select(F.xxhash64("doc_id", "text").alias("rid"), "doc_id", "text")
+    profile = stage(docs.mapInArrow(_profile(k), PROFILE_SCHEMA), "profile")
+    rows = profile.where("slice is null").select("rid", "doc_id", "n", "cls", *BITS)
+    counts = shingle_loads(profile.where("slice is not null").select("slice", "lane", "counts"))
     frequent = 4 * counts.mean() + 64
 
-    sketch = spark.sparkContext.broadcast(counts)
-    shared = shared_signatures(docs.mapInArrow(_posting(k, sketch, frequent, num, den), "sig long, cls long"))
+    sketch = spark.sparkContext.broadcast(counts.astype(np.uint32) if counts.max() < 1 << 32 else counts)
+    shared = shared_signatures(docs.select("text").mapInArrow(_posting(k, sketch, frequent, num, den), "sig long, cls long"))
 
-    classes = stage(rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"), *[F.min(c).alias(c) for c in ("n", *BITS)]), "classes")
+    classes = stage(rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"), F.min("rid").alias("rid"), *[F.min(c).alias(c) for c in ("n", *BITS)]), "classes")
 
     def fetch(wanted, maps):
-        side = stage(classes.join(wanted, "cls").select("cls", F.col("first").alias("doc_id")), "wanted")
+        side = stage(classes.join(wanted, "cls").select("cls", "rid"), "wanted")
         side = F.broadcast(side) if within(side, BROADCAST_IDS) else side
-        return docs.join(side, "doc_id").select("cls", "text").mapInArrow(_sets(k, maps), SET_SCHEMA).dropDuplicates(["cls"])
+        return docs.join(side, "rid").select("cls", "text").mapInArrow(_sets(k, maps), SET_SCHEMA).dropDuplicates(["cls"])
 
-    found = link_components(shared, classes.drop("first"), fetch, num, den, wide=True)
+    found = link_components(shared, classes.drop("first", "rid"), fetch, num, den, wide=True, load=sketch)
     classes = classes.select("cls", "first")
 
     named = found.join(classes.withColumnRenamed("cls", "node"), "node")

@@ -23,6 +23,7 @@ from .word_windows import repeated_windows
 
 BROADCAST_IDS = 1_000_000
 PERMUTATIONS = 30
+SEEN = 1_000_000
 
 
 def tune_bands(similarity: float, recall: float = 0.99, permutations: int = PERMUTATIONS) -> tuple[int, int]:
@@ -46,71 +47,74 @@ def _line_words(text: str | None) -> list[tuple[int, list[bytes]]]:
     return [(i, w) for i, line in enumerate(raw) if (w := line.split())]
 
 
-LINE_SCHEMA = f"doc_id long, line int, at int, n_words int, cls long, {FACTS_SCHEMA}"
 PASSAGE_SCHEMA = "doc_id long, first_line int, last_line int, n_words long, component_id long, removed boolean, first_word int, last_word int"
-
-
-def _lines(k: int):
-    """One row for each line with a word: doc_id, line number, words before and in it, class and facts of its shingle set."""
-
-    def run(batches):
-        cache = WordHash()
-        for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for lo in range(0, len(ids), 500):
-                doc, n, sets, at, before = [], [], [], [], []
-                for doc_id, text in zip(ids[lo : lo + 500], texts[lo : lo + 500]):
-                    past = 0
-                    for i, words in _line_words(text):
-                        doc.append(doc_id)
-                        at.append(i)
-                        before.append(past)
-                        n.append(len(words))
-                        past += len(words)
-                        sets.append(shingle_set(words, k, cache))
-                facts, names = fact_arrays(sets)
-                cls = pa.array([set_id(h) for h in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(at, pa.int32()), pa.array(before, pa.int32()), pa.array(n, pa.int32()), cls, *facts], names=["doc_id", "line", "at", "n_words", "cls", *names])
-
-    return run
-
-
-def _bands(k: int, bands: int, rows: int, least: int):
-    """Band keys of the lines with at least `least` words."""
-    seeds = _seeds(bands * rows)
-
-    def keys(pools, sizes, own):
-        """Band keys of many lines at once."""
-        pool, starts, own = np.concatenate(pools), np.cumsum([0, *sizes[:-1]]), np.array(own, np.int64)
-        sigs = []
-        for b in range(bands):
-            key = np.full(len(own), b + 1, np.uint64)
-            for j in range(b * rows, (b + 1) * rows):
-                h = pool * seeds[j]
-                h ^= h >> np.uint64(32)
-                key = (key ^ (key >> np.uint64(29))) * seeds[0] + np.minimum.reduceat(h, starts)
-            sigs.append(key.view(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.tile(own, bands))], names=["sig", "cls"])
+STEP = 200_000
+
+
+def band_names(bands: int) -> list[str]:
+    return [f"k{b}" for b in range(bands)]
+
+
+def line_schema(bands: int) -> str:
+    return f"doc_id long, line int, at int, n_words int, cls long, {FACTS_SCHEMA}, " + ", ".join(f"{k} long" for k in band_names(bands))
+
+
+def band_keys(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
+    """(sets, bands) MinHash keys of non-empty sets."""
+    seeds, sizes = _seeds(bands * rows), [len(h) for h in sets]
+    if not sets:
+        return np.empty((0, bands), np.int64)
+    pool, starts = np.concatenate(sets), np.cumsum([0, *sizes[:-1]])
+    out = np.empty((len(sets), bands), np.uint64)
+    for b in range(bands):
+        key = np.full(len(sets), b + 1, np.uint64)
+        for j in range(b * rows, (b + 1) * rows):
+            h = pool * seeds[j]
+            h ^= h >> np.uint64(32)
+            key = (key ^ (key >> np.uint64(29))) * seeds[0] + np.minimum.reduceat(h, starts)
+        out[:, b] = key
+    return out.view(np.int64)
+
+
+def _lines(k: int, bands: int, rows: int, least: int):
+    """One row for each line with a word: doc_id, line number, words before and in it, class and facts of its shingle
+    set; band keys where the line has `least` words and its class is new to the task."""
+
+    def told(doc, at, before, n, sets, seen):
+        facts, names = fact_arrays(sets)
+        cls = [set_id(h) for h in sets]
+        new = []
+        for i, c in enumerate(cls):
+            if n[i] >= least and c not in seen:
+                seen.add(c)
+                new.append(i)
+        keys, mask = np.zeros((len(sets), bands), np.int64), np.ones(len(sets), bool)
+        keys[new], mask[new] = band_keys([sets[i] for i in new], bands, rows), False
+        columns = [pa.array(doc, pa.int64()), pa.array(at, pa.int32()), pa.array(before, pa.int32()), pa.array(n, pa.int32()), pa.array(cls, pa.int64()), *facts]
+        columns += [pa.array(np.ascontiguousarray(keys[:, b]), pa.int64(), mask=mask) for b in range(bands)]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "line", "at", "n_words", "cls", *names, *band_names(bands)])
 
     def run(batches):
         cache, seen = WordHash(), set()
         for batch in batches:
-            pools, sizes, own, n = [], [], [], 0
-            for text in batch.column("text").to_pylist():
-                for _, words in _line_words(text):
-                    if len(words) >= least:
-                        hashes = shingle_set(words, k, cache)
-                        if (cls := set_id(hashes)) not in seen:
-                            seen.add(cls)
-                            pools.append(hashes)
-                            sizes.append(len(hashes))
-                            own.append(cls)
-                            n += len(hashes)
-                if n >= 200_000:
-                    yield keys(pools, sizes, own)
-                    pools, sizes, own, n = [], [], [], 0
-            if own:
-                yield keys(pools, sizes, own)
+            doc, n, sets, at, before, words_so_far = [], [], [], [], [], 0
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                past = 0
+                for i, words in _line_words(text.as_py()):
+                    doc.append(doc_id)
+                    at.append(i)
+                    before.append(past)
+                    n.append(len(words))
+                    past += len(words)
+                    sets.append(shingle_set(words, k, cache))
+                words_so_far += past
+                if words_so_far >= STEP:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    yield told(doc, at, before, n, sets, seen)
+                    doc, n, sets, at, before, words_so_far = [], [], [], [], [], 0
+            if doc:
+                yield told(doc, at, before, n, sets, seen)
 
     return run
 
@@ -197,6 +201,18 @@ def _passages(min_words: int):
     return run
 
 
+def document_keys(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """docs (doc_id, text) -> the same with a key for each different text in place of doc_id, and (key, doc_id) of the keys
+    that are no doc_id, or None. The key is the doc_id, but where several texts share one it is a hash of both."""
+    ids = docs.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("lo"), F.max(F.xxhash64("text")).alias("hi"))
+    several = stage(ids.where("lo != hi").select("doc_id", F.lit(True).alias("several")), "several")
+    if several.isEmpty():
+        return docs, None
+    key = F.when(F.col("several"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id"))
+    keyed = docs.join(several, "doc_id", "left").select(key.alias("key"), "doc_id", "text", "several")
+    return keyed.select(F.col("key").alias("doc_id"), "text"), keyed.where("several").select("key", "doc_id").distinct()
+
+
 def repeated_passages(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, min_words: int = 50, recall: float = 0.99) -> DataFrame:
     """docs (doc_id, text) -> PASSAGE_SCHEMA: one row for each passage of at least min_words words that repeats in other places.
 
@@ -209,14 +225,18 @@ def repeated_passages(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, m
     with removed false if it has min_words. component_id is the doc_id of the head that most words of the passage have,
     first_word and last_word count the words of the text from 0.
     Null and empty texts have no lines; rows without a doc_id are left out; very long texts are read whole;
-    repeated rows are one document. Other columns are not looked at.
+    repeated rows are one document. Different texts under one doc_id are documents of their own, which count as later or earlier
+    by a hash; their passages come under that doc_id. Other columns are not looked at.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    docs, names = document_keys(docs)
     bands, rows = tune_bands(num / den, recall)
-    lines = stage(docs.mapInArrow(_lines(k), LINE_SCHEMA), "lines")
-    shared = shared_signatures(docs.mapInArrow(_bands(k, bands, rows, k + 1), "sig long, cls long"))
+    keys = band_names(bands)
+    lines = stage(docs.mapInArrow(_lines(k, bands, rows, k + 1), line_schema(bands)), "lines")
 
-    classes = stage(lines.groupBy("cls").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("places"), *[F.min(c).alias(c) for c in ("n", *BITS)]), "classes")
+    place = F.struct("doc_id", "line")
+    classes = stage(lines.groupBy("cls").agg(F.min(place).alias("first"), F.max(place).alias("last"), *[F.min(c).alias(c) for c in ("n", *BITS, *keys)]), "classes")
+    shared = shared_signatures(classes.where(F.col(keys[0]).isNotNull()).select(F.explode(F.array(*keys)).alias("sig"), "cls"))
 
     def fetch(wanted, maps):
         side = stage(classes.join(wanted, "cls").select("cls", "first.*"), "wanted")
@@ -224,16 +244,22 @@ def repeated_passages(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, m
         return docs.join(side, "doc_id").select("cls", "line", "text").mapInArrow(_sets(k), SET_SCHEMA).dropDuplicates(["cls"])
 
     found = link_components(shared, classes.select("cls", "n", *BITS), fetch, num, den)
-    classes = classes.select("cls", "first", "places")
+    classes = classes.select("cls", "first", "last")
     lines = lines.select("doc_id", "line", "at", "n_words", "cls")
 
     labelled = classes.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    heads = labelled.groupBy("label").agg(F.min("first").alias("head"), F.sum("places").alias("places")).where("places > 1")
+    heads = labelled.groupBy("label").agg(F.min("first").alias("head"), F.max("last").alias("last")).where("head != last").drop("last")
     repeats = stage(labelled.select("cls", "label").join(heads, "label").select("cls", "head"), "repeats")
     earlier = (F.col("head.doc_id") != F.col("doc_id")) | (F.col("head.line") != F.col("line"))
-    marked = lines.distinct().join(repeats, "cls", "left").select(
+    marked = lines.join(repeats, "cls", "left").select(
         "doc_id", "at", F.col("n_words").alias("n"), "line", F.col("head").isNotNull().alias("hit"), F.coalesce("head.doc_id", "doc_id").alias("head"), F.coalesce(earlier, F.lit(False)).alias("copied")
     )
     windows = repeated_windows(docs, min_words).select("doc_id", "at", "n", F.lit(-1).alias("line"), F.lit(True).alias("hit"), "head", "copied")
-    marked = marked.union(windows).repartition("doc_id").sortWithinPartitions("doc_id", "at")
-    return marked.mapInArrow(_passages(min_words), PASSAGE_SCHEMA)
+    marked = marked.union(windows).repartition("doc_id").sortWithinPartitions("doc_id", "at", "line")
+    out = marked.mapInArrow(_passages(min_words), PASSAGE_SCHEMA)
+    if names is None:
+        return out
+    for column in ("doc_id", "component_id"):
+        own = names.select(F.col("key").alias(column), F.col("doc_id").alias("own"))
+        out = out.join(own, column, "left").withColumn(column, F.coalesce("own", column)).drop("own")
+    return out.select(*[c.split()[0] for c in PASSAGE_SCHEMA.split(", ")])

@@ -94,6 +94,82 @@ def test_signatures_meet_for_all_linked_sets_even_if_all_tokens_are_frequent():
                 assert np.isin(a, b).any(), (n, drop, frequent)
 
 
+def brute_components(rows, k, num, den):
+    """Counter of (doc_id, set size, smallest linked doc_id) by comparing all pairs."""
+    index, sets = {}, []
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
+        sets.append((i, {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()))
+    tokens = {x: n for n, x in enumerate(sorted({x for _, s in sets for x in s}))}
+    m = np.zeros((len(sets), len(tokens)), np.float32)
+    for r, (_, s) in enumerate(sets):
+        m[r, [tokens[x] for x in s]] = 1
+    common, size = (m @ m.T).astype(int), m.sum(1).astype(int)
+    linked = (den * common >= num * (size[:, None] + size[None] - common)) & (common > 0)
+    ids = np.array([1 << 60 if i is None else i for i, _ in sets])
+    label = np.arange(len(sets))
+    while True:
+        new = np.minimum(label, np.where(linked, label[None], len(sets)).min(1))
+        if (new == label).all():
+            break
+        label = new
+    least = {x: ids[label == x].min() for x in set(label.tolist())}
+    index = [None if (c := least[x]) == 1 << 60 else int(c) for x in label.tolist()]
+    return Counter((i, len(s), c) for (i, s), c in zip(sets, index))
+
+
+def near_copies(rng, n, words, most):
+    """n texts, each a base text with up to `most` words replaced, often at the same few places by the same few words."""
+    base, out = [f"w{rng.randrange(10**6)}" for _ in range(words)], []
+    for _ in range(n):
+        copy = list(base)
+        for _ in range(rng.randint(0, most)):
+            at = rng.choice([rng.randrange(words), rng.randrange(5) * 7])
+            copy[at] = rng.choice(["same", f"x{rng.randrange(10**6)}", f"y{rng.randrange(3)}"])
+        out.append(" ".join(copy))
+    return out
+
+
+@pytest.mark.parametrize("k,num,den,hot,levels", [(3, 9, 10, 4, 5), (5, 4, 5, 4, 2), (3, 9, 10, 2, 3)])
+def test_large_groups_of_near_copies_equal_brute_force(spark, monkeypatch, k, num, den, hot, levels):
+    from quadrille.llm import linking
+
+    rng = random.Random(k + hot)
+    texts = near_copies(rng, 500, 90, 6) + near_copies(rng, 150, 60, 2) + near_copies(rng, 60, 200, 12)
+    shared = " ".join(f"s{i}" for i in range(12))
+    texts += [shared + " " + prose(rng, rng.randint(8, 60)) for _ in range(60)]
+    rows = list(enumerate(texts)) + [(None, texts[0] + " tail"), (None, "quite alone here"), (3, texts[600])]
+    whole = linking.link_components
+    monkeypatch.setattr(ngram_join, "link_components", lambda *a, **b: whole(*a, **b, hot=hot, levels=levels))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert Counter(map(tuple, ngram_join.ngram_jaccard_components(df, k, num, den).collect())) == brute_components(rows, k, num, den)
+
+
+def test_differences_from_a_hub_meet_for_every_link_that_the_hub_does_not_show():
+    import pyarrow as pa
+
+    from quadrille.llm import linking
+
+    rng = np.random.default_rng(9)
+    for num, den in ((9, 10), (4, 5)):
+        for _ in range(150):
+            base = np.unique(rng.integers(1, 1 << 62, rng.integers(5, 120)).astype(np.uint64))
+            some = []
+            for _ in range(8):
+                drop, add = rng.integers(0, len(base) // 4 + 2, 2)
+                some.append(np.unique(np.concatenate([rng.permutation(base)[drop:], base[:3], rng.integers(1, 40, add).astype(np.uint64)])))
+            batch = pa.RecordBatch.from_pydict({"a": [1] * 8, "b": list(range(8)), "ma": [base.tobytes()] * 8, "mb": [x.tobytes() for x in some]})
+            told = next(linking._differences(num, den, None)([batch])).to_pylist()
+            for i, x in enumerate(some):
+                apart = len(np.setxor1d(x, base))
+                assert told[i]["linked"] == ((num + den) * apart <= (den - num) * (len(x) + len(base)))
+                for j in range(i):
+                    y = some[j]
+                    common = len(np.intersect1d(x, y))
+                    if common * den >= num * (len(x) + len(y) - common) and not (told[i]["linked"] and told[j]["linked"]):
+                        assert set(told[i]["keys"]) & set(told[j]["keys"])
+
+
 def test_ngram_join_of_no_rows(docs):
     assert ngram_join.ngram_jaccard_components(docs.limit(0)).count() == 0
 
@@ -368,3 +444,15 @@ def test_shards(spark):
     same = out[out["text_crc32"] == zlib.crc32(texts[1].encode())]
     assert same["shard"].nunique() == 1
     assert sharding.shard_documents(df.limit(0)).count() == 0
+
+
+def test_passages_of_repeated_rows_and_of_texts_that_share_an_id(spark):
+    rng = random.Random(21)
+    new = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(n))
+    one, two = new(60), new(80)
+    rows = [(1, new(30) + "\n" + one), (1, new(100)), (2, new(9) + "\n" + one), (3, two), (3, two), (4, new(5)), (4, new(30) + " " + two), (4, new(7) + "\n" + two)]
+    got = paragraph_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r["doc_id"], r["n_words"]) for r in got) == Counter({(1, 60): 1, (2, 60): 1, (3, 80): 1, (4, 80): 2})
+    assert sum(not r["removed"] for r in got) == 2 and {r["component_id"] for r in got} <= {1, 2, 3, 4}
+    alone = spark.createDataFrame([(3, two), (3, two)], "doc_id long, text string")
+    assert paragraph_dedup.repeated_passages(alone).count() == 0
