@@ -8,7 +8,7 @@ to one hub (the smallest class of the signature it shares most often); signature
 classes then list their pairs that are still in different components.
 
 A signature of more classes is never listed. It gets a hub h, the member that shares the most with the
-others, and every member x its difference d(x) from h. Two members are as far apart as their differences
+others or, at later levels, was nearest to the hub before, and every member x its difference d(x) from h. Two members are as far apart as their differences
 are: |x - y| = |d(x)| + |d(y)| - 2 |d(x) & d(y)| (symmetric differences). If |d(x)| + |d(y)| is within
 what the threshold allows for x and y, both are linked with h. So any other linked pair
 shares words of d(x) and d(y), at least as many as a bound says, and by the prefix principle one of the
@@ -30,7 +30,7 @@ from .components import connected_components
 BITS = ["b0", "b1", "b2", "b3"]
 FACTS_SCHEMA = "n int, b0 long, b1 long, b2 long, b3 long"
 SET_SCHEMA = "cls long, members binary"
-HOT, LEVELS = 16, 5
+HOT, LEVELS = 256, 4
 
 
 def parity_map(hashes: np.ndarray) -> list[int]:
@@ -113,7 +113,7 @@ def _differences(num: int, den: int, load):
     """Of pairs (a hub, b) with their sets: whether they are linked, and the signatures of b at the next level."""
     p, q = den - num, den + num
 
-    def keys(x: np.ndarray, hub: np.ndarray, a: int) -> tuple[bool, np.ndarray]:
+    def keys(x: np.ndarray, hub: np.ndarray, a: int) -> tuple[bool, int, np.ndarray]:
         apart = np.setxor1d(x, hub, assume_unique=True)
         n, nh, d = len(x), len(hub), len(apart)
         linked = q * d <= p * (n + nh)
@@ -123,20 +123,20 @@ def _differences(num: int, den: int, load):
             least = max(least, p * nh + 1)  # two that are linked with the hub need no other link
         need = max(1, -(-(q * d - p * n + least) // (2 * q)))
         if need > d:
-            return linked, np.empty(0, np.uint64)
+            return linked, d, np.empty(0, np.uint64)
         own = np.isin(apart, hub, assume_unique=True)
         weight = np.zeros(d) if load is None else load.value[(apart % np.uint64(len(load.value))).astype(np.int64)]
         first = apart[np.lexsort((apart, weight, own))[: d - need + 1]]
-        return linked, mix(first * MIX_A + mix(np.full(1, a, np.int64).view(np.uint64)))
+        return linked, d, mix(first * MIX_A + mix(np.full(1, a, np.int64).view(np.uint64)))
 
     def run(batches):
         for batch in batches:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             told = [keys(np.frombuffer(y.as_py(), np.uint64), np.frombuffer(x.as_py(), np.uint64), hub) for hub, x, y in zip(a, batch.column("ma"), batch.column("mb"))]
-            ends = np.cumsum([0, *(len(k) for _, k in told)]).astype(np.int32)
-            every = np.concatenate([np.empty(0, np.uint64), *(k for _, k in told)]).view(np.int64)
-            columns = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([x for x, _ in told], pa.bool_()), pa.ListArray.from_arrays(pa.array(ends), pa.array(every))]
-            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "linked", "keys"])
+            ends = np.cumsum([0, *(len(k) for *_, k in told)]).astype(np.int32)
+            every = np.concatenate([np.empty(0, np.uint64), *(k for *_, k in told)]).view(np.int64)
+            columns = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([x for x, *_ in told], pa.bool_()), pa.array([d for _, d, _ in told], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(every))]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "linked", "apart", "keys"])
 
     return run
 
@@ -173,13 +173,16 @@ def link_components(shared: DataFrame, facts: DataFrame, fetch, num: int, den: i
 
     def differences(many):
         """Links with hubs, and the signatures of the next level."""
-        degree = many.groupBy("cls").agg(F.sum("c").alias("degree"))
-        hubs = many.join(degree, "cls").groupBy("sig").agg(F.max_by("cls", F.struct("degree", "cls")).alias("a"))
+        if "apart" in many.columns:
+            hubs = many.groupBy("sig").agg(F.min_by("cls", F.struct("apart", "cls")).alias("a"))
+        else:
+            degree = many.groupBy("cls").agg(F.sum("c").alias("degree"))
+            hubs = many.join(degree, "cls").groupBy("sig").agg(F.max_by("cls", F.struct("degree", "cls")).alias("a"))
         pairs = stage(many.select("sig", F.col("cls").alias("b")).join(hubs, "sig").where("a != b").select("a", "b").distinct(), "members")
         sets = stage(fetch(used(pairs), False), "sets")
-        out = stage(_with_members(pairs, sets).mapInArrow(_differences(num, den, load), "a long, b long, linked boolean, keys array<long>"), "differences")
+        out = stage(_with_members(pairs, sets).mapInArrow(_differences(num, den, load), "a long, b long, linked boolean, apart int, keys array<long>"), "differences")
         unstage(sets)
-        return out.where("linked").select(F.col("b").alias("u"), F.col("a").alias("v")), out.select(F.explode("keys").alias("sig"), F.col("b").alias("cls")).distinct()
+        return out.where("linked").select(F.col("b").alias("u"), F.col("a").alias("v")), out.select(F.explode("keys").alias("sig"), F.col("b").alias("cls"), "apart").distinct()
 
     edges, labels, first = None, None, None
     for level in range(levels):

@@ -26,7 +26,7 @@ from ._common import WordHash, mix, set_id, shingle_set, stage, within
 from .linking import BITS, FACTS_SCHEMA, SET_SCHEMA, fact_arrays, link_components, set_batch, shared_signatures, wide_map
 
 BUCKETS, SLICE, FANIN = 1 << 20, 4096, 64
-SEEN = 1_000_000
+SEEN, STEP = 500_000, 1000
 BAND = 1.25
 PER_SUBCLASS = 4
 BROADCAST_IDS = 1_000_000
@@ -56,10 +56,10 @@ def _profile(k: int):
 
     def run(batches):
         cache, sketch = WordHash(), np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            sets = [shingle_set(words_of(t), k, cache) for t in batch.column("text").to_pylist()]
-            if sets and any(map(len, sets)):
-                sketch += np.bincount((np.concatenate(sets) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+        for batch in (b.slice(lo, STEP) for b in batches for lo in range(0, b.num_rows, STEP)):
+            sets = [shingle_set(words_of(t.as_py()), k, cache) for t in batch.column("text")]
+            for h in sets:
+                np.add.at(sketch, (h % np.uint64(BUCKETS)).astype(np.int64), 1)
             m = len(sets)
             facts, _ = fact_arrays(sets)
             cls = pa.array([set_id(h) if len(h) else None for h in sets], pa.int64())
@@ -135,8 +135,8 @@ def _posting(k: int, sketch, frequent: float, num: int, den: int):
         cache, counts, seen = WordHash(), sketch.value, set()
         for batch in batches:
             sigs, ids = [], []
-            for text in batch.column("text").to_pylist():
-                hashes = shingle_set(words_of(text), k, cache)
+            for text in batch.column("text"):
+                hashes = shingle_set(words_of(text.as_py()), k, cache)
                 if not len(hashes) or (cls := set_id(hashes)) in seen:
                     continue
                 if len(seen) >= SEEN:
