@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own: dict[str, str] = {}
+_own: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder (spark.checkpoint.dir); where it is unset one in the warehouse, which executors share as
+    well. With a local master that one goes when the program ends."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    return found or _own.setdefault("dir", tempfile.mkdtemp(prefix="quadrille-"))
+    if found:
+        return found.rstrip("/")
+    own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/quadrille-staged"
+    if own not in _own and spark.sparkContext.master.startswith("local"):
+        _own.add(own)
+        atexit.register(shutil.rmtree, own.removeprefix("file:"), ignore_errors=True)
+    return own
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
