@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import shutil
 import uuid
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-_own_dir: dict[str, str] = {}
+_own: set[str] = set()
 
 MASK = (1 << 64) - 1
 MIX_A = np.uint64(0x9E3779B97F4A7C15)
@@ -21,11 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a folder of our own only where it is unset."""
+    """The cluster's shared folder (spark.checkpoint.dir); where it is unset one in the warehouse, which executors share as
+    well. With a local master that one goes when the program ends."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
-        return found
-    return _own_dir.setdefault("dir", tempfile.mkdtemp(prefix="quadrille-"))
+        return found.rstrip("/")
+    own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/quadrille-staged"
+    if own not in _own and spark.sparkContext.master.startswith("local"):
+        _own.add(own)
+        atexit.register(shutil.rmtree, own.removeprefix("file:"), ignore_errors=True)
+    return own
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import WordHash, window_hashes
+from ._common import WordHash, stage, window_hashes
 
 SYMBOLS = "#*$%&|<>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_bang_words", "n_lines", "n_end_lines", "n_stops"]
@@ -75,7 +76,8 @@ def _counting(batches):
 
 
 def count_features(docs: DataFrame) -> DataFrame:
-    """Adds the counts of COUNTS to docs, which has a column text and none of those names."""
+    """Adds the counts of COUNTS to docs, which has a column text; columns of those names are replaced."""
+    docs = docs.drop(*COUNTS)
     schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in COUNTS)])
     return docs.mapInArrow(_counting, schema)
 
@@ -137,14 +139,17 @@ def judge_quality(counted: DataFrame, threshold: float = 0.5) -> DataFrame:
     base_failed: fewer than 10 words, or over a fifth of the words in repeated 5-word windows.
     kept: not base_failed, and posterior >= threshold. Vote patterns (at most 3 ** rules) are
     counted over all rows; only those counts reach the driver. Null and blank texts have no
-    words and fail. An empty table gives an empty table.
+    words and fail. An empty table gives an empty table. Other columns stay, but for those of the results' names, which are
+    replaced. The counts are made once and staged; votes are taken from there.
     """
     votes = rule_votes()
-    names = [f"__vote_{r}" for r in votes]
+    mark = f"__{uuid.uuid4().hex[:8]}"  # no column of the caller has it
+    names = [f"{mark}_{r}" for r in votes]
+    counted = stage(counted.drop("base_failed", "quality_probability", "kept"), "counted")
     voted = counted.withColumns(dict(zip(names, votes.values())))
-    found = voted.groupBy(*names).agg(F.count("*").alias("__n")).collect()
+    found = voted.groupBy(*names).agg(F.count("*").alias("times")).collect()
     if found:
-        prior, table = fit_accuracies(np.array([[r[c] for c in names] for r in found]), np.array([float(r["__n"]) for r in found]))
+        prior, table = fit_accuracies(np.array([[r[c] for c in names] for r in found]), np.array([float(r["times"]) for r in found]))
     else:
         prior, table = 0.5, np.full((len(names), 2, 3), 1 / 3)
     score = F.lit(math.log(prior / (1 - prior)))

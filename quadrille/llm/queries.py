@@ -50,7 +50,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     tricky = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    extra = spark.sql(f"select conv_id, turn, role, '{tricky}' as text from values (-7L, 0L, 'user'), (-7L, 1L, 'assistant') as t(conv_id, turn, role)")
     chats = format_chats(message_log(rows.union(extra)))
     chats = chats.withColumns({"turns": read_back(F.col("formatted")), "loss": loss_texts(F.col("formatted"), F.col("loss_mask"))})
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
