@@ -19,9 +19,18 @@ with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPP
  places as (select doc_id, k, width, array_to_string(w[k : k + width - 1], ' ') as g from (select doc_id, w, width, unnest(range(1, len(w) - width + 2)) as k from d, (select distinct width from windows) v where len(w) >= width) x),
  hits as (select distinct p.doc_id, p.k, p.width, n.item_id from places p join windows n on p.g = n.g and p.width = n.width),
  covered as (select doc_id, count(distinct pos) as n_hit from (select doc_id, unnest(range(k, k + width)) as pos from hits) x group by doc_id),
- named as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct doc_id, item_id from hits) x group by doc_id)
-select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
-from d left join covered using (doc_id) left join named using (doc_id)"""
+ named as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct doc_id, item_id from hits) x group by doc_id),
+ frequencies as (select lower(t) as f, count(*) as df from (select unnest(w) as t from d) x group by lower(t)),
+ texts as (select item_id, w, row_number() over () as k from i where len(w) > 0),
+ item_terms as (select k, q, term, coalesce(df, 0) as df from (select k, unnest(range(1, len(w) + 1)) as q, unnest(w) as term from texts) x left join frequencies on f = lower(term)),
+ spans as (select k, len(w) as n, unnest(range(1, greatest(len(w) - 13, 0) + 2)) as first from texts),
+ rarest as (select s.k, s.first, list(term order by df, term, q)[1 : 2] as two from spans s join item_terms t on t.k = s.k and q between s.first and least(s.first + 12, n) group by s.k, s.first),
+ pairs as (select distinct item_id, two[1] as one, coalesce(two[2], two[1]) as other from rarest join texts using (k)),
+ places_of as (select doc_id, unnest(w) as t, generate_subscripts(w, 1) as p from d),
+ nearby as (select a.doc_id, count(distinct item_id) as n_near from pairs join places_of a on a.t = one join places_of b on b.t = other and b.doc_id = a.doc_id and abs(a.p - b.p) <= 13 group by a.doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated,
+ coalesce(n_near, 0) as n_near
+from d left join covered using (doc_id) left join named using (doc_id) left join nearby using (doc_id)"""
 
 
 def _escaped(x: str) -> str:
