@@ -53,7 +53,7 @@ def unstage(df: DataFrame) -> None:
 class WordHash(dict):
     """Word (bytes) -> 64-bit hash, remembered up to `bound` words."""
 
-    def __init__(self, bound: int = 400_000):
+    def __init__(self, bound: int = 250_000):
         super().__init__()
         self.bound = bound
 

@@ -30,7 +30,7 @@ from .components import connected_components
 BITS = ["b0", "b1", "b2", "b3"]
 FACTS_SCHEMA = "n int, b0 long, b1 long, b2 long, b3 long"
 SET_SCHEMA = "cls long, members binary"
-HOT, LEVELS = 256, 4
+HOT, LEVELS = 256, 3
 
 
 def parity_map(hashes: np.ndarray) -> list[int]:

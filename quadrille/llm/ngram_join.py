@@ -26,7 +26,7 @@ from ._common import WordHash, mix, set_id, shingle_set, stage, within
 from .linking import BITS, FACTS_SCHEMA, SET_SCHEMA, fact_arrays, link_components, set_batch, shared_signatures, wide_map
 
 BUCKETS, SLICE, FANIN = 1 << 20, 4096, 64
-SEEN, STEP = 500_000, 1000
+SEEN, STEP = 300_000, 1000
 BAND = 1.25
 PER_SUBCLASS = 4
 BROADCAST_IDS = 1_000_000

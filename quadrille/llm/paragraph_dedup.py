@@ -23,7 +23,7 @@ from .word_windows import repeated_windows
 
 BROADCAST_IDS = 1_000_000
 PERMUTATIONS = 30
-SEEN = 1_000_000
+SEEN, LEVELS = 300_000, 2
 
 
 def tune_bands(similarity: float, recall: float = 0.99, permutations: int = PERMUTATIONS) -> tuple[int, int]:
@@ -243,7 +243,7 @@ def repeated_passages(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, m
         side = F.broadcast(side) if within(side, BROADCAST_IDS) else side
         return docs.join(side, "doc_id").select("cls", "line", "text").mapInArrow(_sets(k), SET_SCHEMA).dropDuplicates(["cls"])
 
-    found = link_components(shared, classes.select("cls", "n", *BITS), fetch, num, den)
+    found = link_components(shared, classes.select("cls", "n", *BITS), fetch, num, den, levels=LEVELS)
     classes = classes.select("cls", "first", "last")
     lines = lines.select("doc_id", "line", "at", "n_words", "cls")
 

@@ -16,6 +16,14 @@ from ._common import MIX_A, WordHash, mix
 
 SPAN_SCHEMA = "doc_id long, at int, n int, head long, copied boolean"
 BLOCK_WORDS, BLOCK_ROWS = 200_000, 30_000
+KEPT = 6  # bytes of a window's hash that are moved; it is compared only with windows of the same 64-bit part
+
+
+def _whole(packed: list[bytes]) -> np.ndarray:
+    raw = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, KEPT)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :KEPT] = raw
+    return out.view(np.uint64).ravel()
 
 
 def _doubled(values: np.ndarray, width: int, join) -> np.ndarray:
@@ -42,8 +50,9 @@ def _stretches(width: int, part: int):
         at = np.flatnonzero(np.arange(len(of)) + width <= ends[of])
         least, hashes, of = least[at], hashes[at], of[at]
         first = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (of[1:] != of[:-1])])
-        offsets = (np.r_[first, len(at)] * 8).astype(np.int32)
-        packed = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(hashes.tobytes())])
+        offsets = (np.r_[first, len(at)] * KEPT).astype(np.int32)
+        low = np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :KEPT])
+        packed = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(low)])
         place = at[first] - (ends - sizes)[of[first]]
         return pa.RecordBatch.from_arrays([pa.array(least[first].view(np.int64)), pa.array(np.array(docs, np.int64)[of[first]]), pa.array(place.astype(np.int32)), packed], names=["part", "doc_id", "at", "hashes"])
 
@@ -72,12 +81,12 @@ def _repeats(width: int):
     def block(batch, past):
         part, doc, at = (batch.column(c).to_numpy() for c in ("part", "doc_id", "at"))
         again = part[1:] == part[:-1]
-        sizes = pc.binary_length(batch.column("hashes")).to_numpy().astype(np.int64) // 8
+        sizes = pc.binary_length(batch.column("hashes")).to_numpy().astype(np.int64) // KEPT
         # a part met once can repeat only in itself, if it reaches beyond one window
         keep = np.r_[False, again] | np.r_[again, False] | (part == part[-1]) | (part == past["part"]) | (sizes > width)
         part, doc, at, sizes, packed = part[keep], doc[keep], at[keep], sizes[keep], batch.column("hashes").filter(pa.array(keep)).to_pylist()
         row = np.repeat(np.arange(len(sizes)), sizes)
-        h = np.r_[past["h"], np.frombuffer(b"".join(packed), np.uint64)]
+        h = np.r_[past["h"], _whole(packed)]
         d = np.r_[past["d"], doc[row]]
         p = np.r_[past["p"], at[row] + np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row]]
         told = np.r_[past["told"], np.zeros(len(row), bool)]
