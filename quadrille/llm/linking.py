@@ -172,7 +172,7 @@ def link_components(shared: DataFrame, facts: DataFrame, fetch, num: int, den: i
         return out
 
     def differences(many):
-        """Links with hubs, and the signatures of the next level."""
+        """Links with hubs, and the members with facts and their signatures of the next level."""
         if "apart" in many.columns:
             hubs = many.groupBy("sig").agg(F.min_by("cls", F.struct("apart", "cls")).alias("a"))
         else:
@@ -182,15 +182,16 @@ def link_components(shared: DataFrame, facts: DataFrame, fetch, num: int, den: i
         sets = stage(fetch(used(pairs), False), "sets")
         out = stage(_with_members(pairs, sets).mapInArrow(_differences(num, den, load), "a long, b long, linked boolean, apart int, keys array<long>"), "differences")
         unstage(sets)
-        return out.where("linked").select(F.col("b").alias("u"), F.col("a").alias("v")), out.select(F.explode("keys").alias("sig"), F.col("b").alias("cls"), "apart").distinct()
+        members = out.where(F.size("keys") > 0).select(F.col("b").alias("cls"), "apart", "keys").join(facts, "cls")
+        return out.where("linked").select(F.col("b").alias("u"), F.col("a").alias("v")), stage(members, "next")
 
     edges, labels, first = None, None, None
     for level in range(levels):
-        known = shared.join(facts, "cls")
-        if labels is not None:
-            known = known.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        else:
-            known = known.withColumn("label", F.col("cls"))
+        if labels is None:
+            known = shared.join(facts, "cls").withColumn("label", F.col("cls"))
+        else:  # labels come to the members, before their signatures are dealt out
+            known = shared.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+            known = known.withColumn("sig", F.explode("keys")).drop("keys")
         known = stage(known, "known")
         groups = known.groupBy("sig").agg(F.min(F.struct("cls", "n", *BITS)).alias("h"), F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"))
         placed = stage(known.join(groups.where("lo != hi").drop("lo", "hi"), "sig"), "placed")

@@ -23,7 +23,7 @@ from .word_windows import repeated_windows
 
 BROADCAST_IDS = 1_000_000
 PERMUTATIONS = 30
-SEEN, LEVELS = 300_000, 2
+SEEN, LEVELS = 300_000, 3
 
 
 def tune_bands(similarity: float, recall: float = 0.99, permutations: int = PERMUTATIONS) -> tuple[int, int]:
