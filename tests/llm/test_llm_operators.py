@@ -58,9 +58,10 @@ def find(parent, x):
 
 def test_components_of_a_path_a_star_and_loops(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, k) for k in range(101, 140)] + [(7, 7), (3, 4), (3, 4)]
-    got = {r["node"]: r["label"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
-    assert got == {**{i: 0 for i in range(31)}, **{k: 100 for k in range(100, 140)}}
-    assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+    for one_task in (0, 10_000):
+        got = {r["node"]: r["label"] for r in connected_components(spark.createDataFrame(edges, "u long, v long"), one_task=one_task).collect()}
+        assert got == {**{i: 0 for i in range(31)}, **{k: 100 for k in range(100, 140)}}
+        assert connected_components(spark.createDataFrame([], "u long, v long"), one_task=one_task).count() == 0
 
 
 @pytest.mark.parametrize("k,num,den", [(3, 9, 10), (5, 4, 5)])
