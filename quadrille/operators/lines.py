@@ -19,7 +19,8 @@ def is_header(line: Column) -> Column:
 def page_lines(pages: DataFrame, key: str = "source_url") -> DataFrame:
     """(key, idx, line): normalised lines that are not empty; the title is the first."""
     text = F.concat(F.coalesce("page_title", F.lit("")), F.lit("\n"), F.coalesce("body_text", F.lit("")))
-    raw = pages.select(key, F.posexplode(F.split(text, T.LINE_SEPARATORS, -1)).alias("pos", "raw"))
+    dealt = pages.select(key, text.alias("__text")).repartition(key)  # pages, not lines, are dealt out; windows and aggregates on the key keep to it
+    raw = dealt.select(key, F.posexplode(F.split("__text", T.LINE_SEPARATORS, -1)).alias("pos", "raw"))
     lines = raw.select(key, "pos", T.normalize(F.col("raw")).alias("line")).where("line != ''")
     at = F.row_number().over(W.partitionBy(key).orderBy("pos")) - 1
     return lines.select(key, at.alias("idx"), "line")

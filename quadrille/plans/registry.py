@@ -12,6 +12,7 @@ from ..functions import values as V
 from ..operators import crawl, evaluation, fields, lines, links, programs, reports, targets
 from ..sources import pages as P
 from ..sources import synthetic as S
+from ..sources.staging import stage
 from . import duck as D
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,7 +33,7 @@ def _extracted(name: str) -> Query:
 
 def _program_records(spark, sf_dir):
     pages = S.captures(spark, sf_dir)
-    extracted = fields.extract_pages(pages).join(pages.select("program_code", "source_url"), "source_url")
+    extracted = stage(fields.extract_pages(pages).join(pages.select("program_code", "source_url"), "source_url"), "extracted")
     out = programs.aggregate_programs(extracted)
     return out.select("program_code", "source_url", "page_title", "completeness", *V.AGGREGATED_FIELDS, *[f"{f}_source" for f in V.AGGREGATED_FIELDS], F.array_join("prerequisite_keywords", ",").alias("keywords"), *programs.FLAGS)
 
