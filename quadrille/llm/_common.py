@@ -7,6 +7,7 @@ import shutil
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,7 +54,7 @@ def unstage(df: DataFrame) -> None:
 class WordHash(dict):
     """Word (bytes) -> 64-bit hash, remembered up to `bound` words."""
 
-    def __init__(self, bound: int = 250_000):
+    def __init__(self, bound: int = 120_000):
         super().__init__()
         self.bound = bound
 
@@ -64,6 +65,14 @@ class WordHash(dict):
         return got
 
 
+def in_steps(batches, rows: int):
+    """Record batches in slices of at most so many rows; unused Arrow memory goes back to the system at the end of a task."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(31))
     h = h * MIX_B

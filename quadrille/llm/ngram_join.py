@@ -22,11 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WordHash, mix, set_id, shingle_set, stage, within
+from ._common import WordHash, in_steps, mix, set_id, shingle_set, stage, within
 from .linking import BITS, FACTS_SCHEMA, SET_SCHEMA, fact_arrays, link_components, set_batch, shared_signatures, wide_map
 
 BUCKETS, SLICE, FANIN = 1 << 20, 4096, 64
-SEEN, STEP = 300_000, 1000
+SEEN, STEP = 300_000, 250
 BAND = 1.25
 PER_SUBCLASS = 4
 BROADCAST_IDS = 1_000_000
@@ -56,7 +56,7 @@ def _profile(k: int):
 
     def run(batches):
         cache, sketch = WordHash(), np.zeros(BUCKETS, np.int64)
-        for batch in (b.slice(lo, STEP) for b in batches for lo in range(0, b.num_rows, STEP)):
+        for batch in in_steps(batches, STEP):
             sets = [shingle_set(words_of(t.as_py()), k, cache) for t in batch.column("text")]
             for h in sets:
                 np.add.at(sketch, (h % np.uint64(BUCKETS)).astype(np.int64), 1)
@@ -133,7 +133,7 @@ def signatures(hashes: np.ndarray, sketch: np.ndarray, frequent: float, num: int
 def _posting(k: int, sketch, frequent: float, num: int, den: int):
     def run(batches):
         cache, counts, seen = WordHash(), sketch.value, set()
-        for batch in batches:
+        for batch in in_steps(batches, STEP):
             sigs, ids = [], []
             for text in batch.column("text"):
                 hashes = shingle_set(words_of(text.as_py()), k, cache)
@@ -146,9 +146,6 @@ def _posting(k: int, sketch, frequent: float, num: int, den: int):
                 if len(got):
                     sigs.append(got.view(np.int64))
                     ids.append(np.full(len(got), cls, np.int64))
-                if len(sigs) >= 500:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(ids))], names=["sig", "cls"])
-                    sigs, ids = [], []
             if sigs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(ids))], names=["sig", "cls"])
 
@@ -158,7 +155,7 @@ def _posting(k: int, sketch, frequent: float, num: int, den: int):
 def _sets(k: int, maps: bool):
     def run(batches):
         cache = WordHash()
-        for batch in batches:
+        for batch in in_steps(batches, STEP):
             rows = []
             for cls, text in zip(batch.column("cls").to_pylist(), batch.column("text").to_pylist()):
                 hashes = shingle_set(words_of(text), k, cache)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import WordHash, stage, window_hashes
+from ._common import WordHash, in_steps, stage, window_hashes
 
 SYMBOLS = "#*$%&|<>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_bang_words", "n_lines", "n_end_lines", "n_stops"]
@@ -68,7 +68,7 @@ def text_counts(text: str | None, cache: WordHash, width: int = 5) -> list[int]:
 
 def _counting(batches):
     cache = WordHash()
-    for batch in batches:
+    for batch in in_steps(batches, 250):
         rows = [text_counts(t, cache) for t in batch.column("text").to_pylist()]
         columns = [pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[] for _ in COUNTS])]
         keep = [batch.column(i) for i in range(batch.num_columns)]
