@@ -59,7 +59,7 @@ class ChunkCache(dict):
 class PieceTable:
     """Encoder over the pieces of one BPE model."""
 
-    def __init__(self, model: bytes, chunk_bound: int = 300_000, pair_bound: int = 1_000_000):
+    def __init__(self, model: bytes, chunk_bound: int = 150_000, pair_bound: int = 400_000):
         self.library = sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.bytes, self.rank, self.id = {}, {}, {}
         for i in range(sp.vocab_size()):
@@ -255,6 +255,7 @@ def _coding(model, with_ids: bool):
                     arrays.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(np.concatenate(packed))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
+        _tables.clear()  # what a task has remembered does not stay in the worker; a table is built in half a second
 
     return run
 
