@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import uuid
 
@@ -66,11 +67,13 @@ class WordHash(dict):
 
 
 def in_steps(batches, rows: int):
-    """Record batches in slices of at most so many rows; unused Arrow memory goes back to the system at the end of a task."""
+    """Record batches in slices of at most so many rows; unused memory goes back to the system at the end of a task, as the worker lives on."""
     for batch in batches:
         for lo in range(0, batch.num_rows, rows):
             yield batch.slice(lo, rows)
     pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
