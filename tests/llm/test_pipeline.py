@@ -27,3 +27,16 @@ def test_stages(spark, tmp_path):
     assert seen[0] == clean | {100, 101, 102, 105}
     assert seen[1] == clean | {102, 105}
     assert seen[2] == seen[3] == seen[4] == clean | {105}
+
+
+def test_rows_that_repeat_share_an_id_or_have_none(spark, tmp_path):
+    rng = random.Random(4)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    one, two, three, item = text(60), text(60), text(60), text(30)
+    rows = [(1, one), (1, one), (None, one), (1, two), (5, three), (None, three + " end"), (7, None), (8, item), (8, text(40)), (None, item + " x")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "extra") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, rid string")
+    got = corpus_pipeline.near_duplicates(spark, docs.where("text is null or length(text) > 300"), str(tmp_path))
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got.collect()))) == sorted(map(str, [(1, one), (1, two), (5, three), (7, None)]))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()
+    assert len(left) == 8 and not any(item in (r["text"] or "") for r in left)
