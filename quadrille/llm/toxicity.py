@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 SPAN, DECAY = 6, 0.6
 CODES = 32
-LONG, WINDOWS = 64, (8, 16, 32)
+LEAST, LONG, WINDOWS = 3, 64, (8, 16, 32)
 _LOOKALIKE = str.maketrans("013457@$", "oieastas")
 
 
@@ -38,13 +38,14 @@ def fold(token: str) -> str:
 
 def forms(token: str) -> list[str]:
     """What is judged of a token: its letters; if those are more than LONG, also its parts between
-    non-letters and overlapping windows of its letters, so that a word anywhere in it counts."""
+    non-letters and overlapping windows of its letters, so that a word anywhere in it counts. Nothing of fewer
+    than LEAST letters, the length of a subsequence, is judged, in training and in scoring alike."""
     whole = fold(token)
     if len(whole) <= LONG:
-        return [whole]
+        return [whole] if len(whole) >= LEAST else []
     parts = "".join(c if c.isalpha() else " " for c in token.lower().translate(_LOOKALIKE)).split()
     windows = [whole[i : i + n] for n in WINDOWS for i in range(0, len(whole) - n // 2, n // 4)]
-    return list(dict.fromkeys([whole, *(p for p in parts if len(p) >= 3), *windows]))
+    return list(dict.fromkeys([whole, *(p for p in parts if len(p) >= LEAST), *windows]))
 
 
 def _code(c: str) -> int:
@@ -130,7 +131,7 @@ class ToxicityModel:
         return top.tolist()
 
     def score(self, margin: float) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30))))
+        return float(1 / (1 + np.exp(-np.clip(self.slope * max(margin, self.bias - 1) + self.shift, -30, 30))))
 
 
 def units(text: str | None) -> set[str]:
@@ -169,22 +170,49 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, roun
     return w[:-1], float(w[-1])
 
 
-def train(texts: list[str], labels: list[int], n_landmarks: int = 160, max_negatives: int = 20_000, rounds: int = 4) -> ToxicityModel:
-    """Fits on labelled texts in memory; the caller bounds them. Same texts in the same order, same model."""
-    kernel = SubsequenceKernel()
-    one: dict[str, str] = {}  # equal words share one string
-    bags = [sorted({one.setdefault(f, f) for w in units(t) for f in forms(w) if len(f) >= 3}) for t in texts]
+def _counts(bags, labels) -> tuple[dict, dict]:
+    """In how many toxic texts, and in how many others, a word is."""
     bad, fine = {}, {}
     for bag, label in zip(bags, labels):
         to = bad if label == 1 else fine
         for w in bag:
             to[w] = to.get(w, 0) + 1
-    positives = [b for b, label in zip(bags, labels) if label == 1 and b]
+    return bad, fine
+
+
+def _odds(bad: dict, fine: dict, n1: int, n0: int) -> dict:
+    return {w: np.log((k + 0.05) / (n1 + 0.1)) - np.log((fine.get(w, 0) + 0.5) / (n0 + 1)) for w, k in bad.items()}
+
+
+def _instances(members: list[np.ndarray], z1: np.ndarray, z0: np.ndarray, rank: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
+    """Multiple-instance training: each toxic text stands for its worst word by rank, re-chosen every round; all rows of z0 are negative."""
+    for _ in range(rounds):
+        worst = np.array([m[np.argmax(rank[m])] for m in members])
+        x = np.vstack([z1[worst], z0])
+        y = np.r_[np.ones(len(worst)), -np.ones(len(z0))]
+        beta, bias = _svm(x, y, np.r_[np.full(len(worst), 3.0), np.ones(len(z0))])
+        rank = z1 @ beta + bias
+    return beta, bias
+
+
+def train(texts: list[str], labels: list[int], n_landmarks: int = 160, max_negatives: int = 20_000, rounds: int = 4, folds: int = 3) -> ToxicityModel:
+    """Fits on labelled texts in memory; the caller bounds them. Same texts in the same order, same model.
+
+    Negative words are the max_negatives / 2 most frequent ones of the other texts and as many more by hash. Scores are
+    calibrated on the margins that texts get from machines trained without their fold; with fewer toxic texts than
+    2 * folds, on the margins of the training texts themselves.
+    """
+    kernel = SubsequenceKernel()
+    one: dict[str, str] = {}  # equal words share one string
+    bags = [sorted({one.setdefault(f, f) for w in units(t) for f in forms(w)}) for t in texts]
+    bad, fine = _counts(bags, labels)
+    toxic = [b for b, label in zip(bags, labels) if label == 1]
+    others = [b for b, label in zip(bags, labels) if label != 1]
+    positives = [b for b in toxic if b]
     if not positives or not fine:
         share = (sum(labels) + 1) / (len(labels) + 2)
         return ToxicityModel(np.zeros(CODES**3), 0.0, 1.0, float(np.log(share / (1 - share))))
-    n1, n0 = len(positives), len(bags) - len(positives)
-    odds = {w: np.log((k + 0.05) / (n1 + 0.1)) - np.log((fine.get(w, 0) + 0.5) / (n0 + 1)) for w, k in bad.items()}
+    odds = _odds(bad, fine, len(positives), len(bags) - len(positives))
     ranked = sorted((w for w in bad if bad[w] >= 2), key=lambda w: (-odds[w] * bad[w] ** 0.5, w))
     common = sorted(fine, key=lambda w: (-fine[w], w))
     chosen = ranked[: 6 * n_landmarks // 10] + common[: 4 * n_landmarks // 10]
@@ -196,20 +224,33 @@ def train(texts: list[str], labels: list[int], n_landmarks: int = 160, max_negat
     negatives = common[: max_negatives // 2] + sorted(common[max_negatives // 2 :], key=lambda w: hash_of(w))[: max_negatives // 2]
     z0 = kernel.against(negatives, landmarks) @ root
     vocabulary = sorted({w for b in positives for w in b})
-    place = {w: i for i, w in enumerate(vocabulary)}
     z1 = kernel.against(vocabulary, landmarks) @ root
-    rank = np.array([odds[w] + 0.3 * np.log(bad[w]) for w in vocabulary])
+    place, place0 = {w: i for i, w in enumerate(vocabulary)}, {w: i for i, w in enumerate(negatives)}
     members = [np.array([place[w] for w in b]) for b in positives]
-    for _ in range(rounds):
-        worst = np.array([m[np.argmax(rank[m])] for m in members])
-        x = np.vstack([z1[worst], z0])
-        y = np.r_[np.ones(len(worst)), -np.ones(len(z0))]
-        beta, bias = _svm(x, y, np.r_[np.full(len(worst), 3.0), np.ones(len(z0))])
-        rank = z1 @ beta + bias
+    start = lambda counts, found: np.array([found[w] + 0.3 * np.log(counts[w]) if w in counts else -np.inf for w in vocabulary])
+    beta, bias = _instances(members, z1, z0, start(bad, odds), rounds)
     weights = landmarks.T.astype(float) @ (root @ beta)
-    top1 = np.array([rank[m].max() for m in members])
-    rank0 = dict(zip(negatives, z0 @ beta + bias))
-    top0 = np.array([max((rank0.get(w, -1.0) for w in b), default=-1.0) for b, label in zip(bags, labels) if label != 1])
+
+    def tops(some, clean, beta, bias):
+        rank, rank0 = z1 @ beta + bias, z0 @ beta + bias
+        return [rank[m].max() for m in some], [max((rank0[place0[w]] for w in b if w in place0), default=-1.0) for b in clean]
+
+    if len(positives) < 2 * folds:
+        top1, top0 = tops(members, others, beta, bias)
+    else:
+        top1, top0 = [], []
+        for k in range(folds):
+            rest = [b for i, b in enumerate(positives) if i % folds != k]
+            clean = [b for i, b in enumerate(others) if i % folds != k]
+            bad_k, fine_k = _counts([*rest, *clean], [1] * len(rest) + [0] * len(clean))
+            known = np.array([place0[w] for w in fine_k if w in place0], np.int64)
+            if not len(known):
+                continue
+            odds_k = _odds(bad_k, fine_k, len(rest), len(clean))
+            machine = _instances([m for i, m in enumerate(members) if i % folds != k], z1, z0[np.sort(known)], start(bad_k, odds_k), rounds)
+            got1, got0 = tops(members[k::folds], others[k::folds], *machine)
+            top1 += got1
+            top0 += got0
     slope, shift = _calibrate(np.r_[top1, top0], np.r_[np.ones(len(top1)), np.zeros(len(top0))])
     return ToxicityModel(weights, bias, slope, shift)
 
@@ -251,7 +292,7 @@ def _scoring(model):
                 for i in range(0, len(fresh), 20_000):
                     part = fresh[i : i + 20_000]
                     known.update(zip(part, fitted.worst(part)))
-                top += [max(map(known.__getitem__, b)) if b else fitted.bias - 1 for b in bags]
+                top += [max((known[w] for w in b), default=-np.inf) for b in bags]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([fitted.score(m) for m in top], pa.float64())], names=["doc_id", "score"])
 
     return run
@@ -267,7 +308,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, positives: int = 1500, n
     rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     pick = lambda t, n: rows.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     few = pick(1, positives).union(pick(0, negatives))  # at most positives + negatives rows
-    found = docs.join(F.broadcast(few), "doc_id").select("doc_id", "toxic", "text").limit(2 * (positives + negatives)).collect()
+    found = docs.join(F.broadcast(few), "doc_id").select("doc_id", "toxic", "text").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * (positives + negatives)).collect()
     found.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
     return [r["text"] or "" for r in found], [r["toxic"] for r in found]
 
@@ -277,8 +318,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, s
 
     The model is fitted on at most sum(sample) labelled texts outside the held-out fold (a
     documented bound; every text is scored). The score of a text is that of its worst word.
-    Null, empty and blank texts get the score of a text without any word; very long texts are
-    read whole. Rows without a doc_id keep a score and have held_out null. Without labels of
+    Null, empty and blank texts, and those without a word of LEAST letters, get the score of a text
+    without any word; very long texts are read whole. A doc_id with both labels counts as toxic. Rows without a doc_id keep a score and have held_out null. Without labels of
     both kinds every score is the smoothed share of toxic labels.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -382,6 +382,18 @@ def test_toxicity_on_held_out_texts(spark):
     assert word("i.d.i.o.t") > 0.3 and word("m0r0n!!") > 0.3 and word("therin") < 0.3
 
 
+def test_toxicity_judges_the_forms_it_was_trained_on():
+    assert [toxicity.forms(t) for t in ("", "12", "--", "ab", "a-b", "abc", "a.b.c")] == [[], [], [], [], [], ["abc"], ["abc"]]
+    fine = [f"calm{chr(97 + i % 26)}{chr(97 + i // 26)} words about gardens" for i in range(90)]
+    bad = [f"you zorgwit number{chr(97 + i)}" for i in range(12)]
+    model = toxicity.train(fine + bad, [0] * 90 + [1] * 12)
+    again = toxicity.train(fine + bad, [0] * 90 + [1] * 12)
+    assert (model.weights == again.weights).all() and (model.bias, model.slope, model.shift) == (again.bias, again.slope, again.shift)
+    top = lambda text: max(model.worst(sorted(toxicity.units(text))), default=-np.inf)
+    assert top("12 -- ab") == top("") == -np.inf and model.score(-np.inf) == model.score(model.bias - 1)
+    assert model.score(top("calm gardens 12 -- ab")) == model.score(top("calm gardens")) < 0.3 < model.score(top("you z.o.r.g.w.i.t"))
+
+
 def test_toxicity_reads_long_tokens_whole(spark):
     rng = random.Random(7)
     insults = ["idiot", "moron", "loweisch", "vejuté"]
