@@ -345,3 +345,43 @@ def scalar_status() -> str:
             f"when {norm_field(f, 'g.' + f)} is null then 'extraction_error' when {norm_field(f, 'r.' + f)} is null then {q('field_left_null' if f in ('deadline', 'tuition') else 'missing_source_coverage')} when coalesce({equal}, false) then 'matched' else 'extraction_error' end as status from g join r using (program_code)"
         )
     return f"with g as ({GOLD}), r as ({CHOSEN}) " + " union all ".join(parts)
+
+
+# ---- records, exports, drafts and summaries ----
+KEYWORDS = f"select program_code, string_split(keywords, ',') as prerequisite_keywords from ({keyword_merge()}) k"
+RECORDS = f"""select b.program_code, b.source_url, b.page_title, b.completeness, {", ".join(f"c.{f}, c.{f}_source" for f in V.AGGREGATED_FIELDS)}, coalesce(k.prerequisite_keywords, []) as prerequisite_keywords,
+   m.foundation_statistics, m.foundation_programming, m.foundation_mathematics
+   from ({BEST_PAGE}) b left join ({CHOSEN}) c using (program_code) left join ({KEYWORDS}) k using (program_code) left join ({foundation_merge()}) m using (program_code)"""
+
+
+def flag_text(c: str) -> str:
+    return f"case when coalesce({c}, false) then 'True' else 'False' end"
+
+
+EXPORT_ROWS = f"""select 'UNI' as university, program_code, coalesce(nullif(program_name, ''), 'Unnamed') as program_name, coalesce(department, '') as department, coalesce(duration, '') as duration,
+   coalesce(tuition, '') as tuition, coalesce(deadline, '') as deadline, coalesce(english_requirement, '') as language_requirement, coalesce(academic_requirement, '') as background_requirement,
+   {flag_text("foundation_statistics")} as mentions_statistics_foundation, {flag_text("foundation_programming")} as mentions_programming_foundation, {flag_text("foundation_mathematics")} as mentions_math_foundation,
+   array_to_string(prerequisite_keywords, '; ') as prerequisite_keywords, coalesce(source_url, '') as source_url, coalesce(page_title, '') as page_title from ({RECORDS}) r"""
+
+GOLD_DRAFT = f"""select program_code, 'UNI' as university, 'official_seed' as mode, 'manual_template_pending' as label_status, {", ".join(V.SCALAR_FIELDS)}, array_to_string(prerequisite_keywords, ',') as prerequisite_keywords from ({RECORDS}) r"""
+
+#: Both sides as sorted lists of normal forms; the label of every programme has the same three keywords.
+KEYWORD_STATUS = f"""select program_code, case when len(e) = 0 then 'missing_source_coverage' when e = g then 'matched' else 'extraction_error' end as status, len(e) as n_e, len(g) as n_g, cast(len(list_intersect(e, g)) as double) as n_both
+   from (select program_code, list_sort(list_distinct(list_transform(prerequisite_keywords, lambda x: {norm("x")}))) as e, ['linear algebra', 'python', 'statistics'] as g from ({RECORDS}) r) x"""
+KEYWORD_SCORES = f"""select program_code, status, round(case when n_e > 0 then n_both / n_e else 0.0 end, 6) as precision, round(case when n_e > 0 then n_both / n_g else 0.0 end, 6) as recall,
+   round(case when n_e > 0 then 2 * n_both / (n_e + n_g) else 0.0 end, 6) as f1 from ({KEYWORD_STATUS}) k"""
+
+
+def summary() -> str:
+    scalar = " union all ".join(f"select program_code, {i} as place, {q(f)} as field, {norm('g.' + f)} is not null as has_gold, {norm('r.' + f)} is not null as has_extracted from g join r using (program_code)" for i, f in enumerate(V.EVALUATED_FIELDS) if f in V.SCALAR_FIELDS)
+    names = lambda c: f"coalesce(string_agg(field, ',' order by place) filter ({c}), '')"
+    rate = lambda x: f"case when label_status = 'completed' and required > 0 then round({x} / required, 6) end"
+    return f"""with g as materialized ({GOLD}), r as materialized ({RECORDS}), st as materialized ({scalar_status()}), h as ({scalar}),
+      each as (select h.*, st.status, case when st.status in ('matched', 'expected_null') then 1.0 else 0.0 end as score from h join st using (program_code, field)
+        union all select program_code, {V.EVALUATED_FIELDS.index("prerequisite_keywords")}, 'prerequisite_keywords', true, n_e > 0, status, case when n_e > 0 then 2 * n_both / (n_e + n_g) else 0.0 end from ({KEYWORD_STATUS}) k),
+      a as (select program_code, count(*) filter (has_gold) as required, count(*) filter (has_gold and has_extracted) as covered, count(*) filter (has_gold and status in ('matched', 'expected_null')) as matched,
+        count(*) filter (has_extracted) as populated, sum(score) filter (has_gold) as total, {names("has_gold")} as scored_fields, {names("status in ('field_left_null', 'missing_source_coverage')")} as missing_fields,
+        {names("status = 'skipped_due_to_missing_gold_truth'")} as skipped_fields from each group by program_code)
+      select program_code, case when label_status <> 'completed' and required = 0 then 'skipped_due_to_incomplete_gold_label' when label_status <> 'completed' then 'incomplete_gold_label' when required = 0 then 'score_not_meaningful' else 'completed' end as benchmark_status,
+        required, covered, matched, populated, {rate("total")} as overall_field_score, {rate("covered")} as field_coverage_rate, {rate("matched")} as exact_match_rate, scored_fields, missing_fields, skipped_fields
+      from a join g using (program_code)"""

@@ -83,6 +83,13 @@ def _ask(spark, sf_dir):
     return reports.answers(rows, spark.createDataFrame([(a,) for a in asked], "question string"))
 
 
+def _summary(spark, sf_dir):
+    gold = _gold(spark, sf_dir)
+    out = evaluation.summarize(evaluation.field_results(_records(spark, sf_dir), gold), gold)
+    rates = {c: F.round(c, 6) for c in ("overall_field_score", "field_coverage_rate", "exact_match_rate")}
+    return out.withColumns(rates | {c: F.array_join(c, ",") for c in ("scored_fields", "missing_fields", "skipped_fields")})
+
+
 def _field_matrix(spark, sf_dir):
     return programs.field_candidates(_hinted(spark, sf_dir)).select("program_code", "source_url", "field", "value", "hint_score", "eligible", "specificity", "selected")
 
@@ -132,9 +139,19 @@ _LATEST = f"""with t as (select program_code, program_name, deadline, tuition, e
    row_number() over (partition by program_code order by source_url desc) as rn from ({D.EXTRACTS}) e), latest as (select * from t where rn = 1)"""
 _DAY = """coalesce(try_strptime(d, '%Y-%m-%d'), try_strptime(d, '%d %b %Y'), try_strptime(d, '%d %B %Y'), try_strptime(d, '%B %d %Y'), try_strptime(d, '%b %d %Y'))"""
 _SIGNALS = f"""{_LATEST}, dated as (select *, cast({_DAY} as date) as day from (select *, {D.squash("replace(deadline, ',', ' ')")} as d from latest) x)"""
+_ANSWERS = f"""{_SIGNALS}, said as (select coalesce(string_agg(program_code, ', ' order by program_code) filter (s), 'none') as stats, coalesce(string_agg(program_code, ', ' order by program_code) filter (p), 'none') as programming,
+   coalesce(string_agg(program_code, ', ' order by program_code) filter (m), 'none') as maths, coalesce(arg_min(concat(cast(day as varchar), ' (', program_code, ')'), (day, program_code)) filter (day is not null), 'not available') as earliest from dated)
+   select question, case kind when 's' then concat('Programs mentioning statistics foundation: ', stats) when 'p' then concat('Programs mentioning programming/CS foundation: ', programming)
+     when 'm' then concat('Programs mentioning mathematics foundation: ', maths) when 'd' then concat('Earliest parsed deadline: ', earliest) when 'e' then 'Question is empty.'
+     else 'Supported questions currently include: statistics foundation, programming/CS foundation, mathematics foundation, and earliest deadline.' end as answer
+   from (values ('Which mention statistics?', 's'), ('best for CS people', 'p'), ('math heavy', 'm'), ('earliest deadline?', 'd'), ('what is the weather', 'h'), ('', 'e')) a(question, kind), said"""
 _TARGET_PAGES = f"""select program_code, regexp_extract(source_url, 'edu/([a-z\\-]+)/', 1) as page_type, source_url as url, cast(length(source_url) % 3 as int) as priority,
    row_number() over (partition by program_code order by regexp_extract(source_url, 'edu/([a-z\\-]+)/', 1), source_url) as rn from ({D.EXTRACTS}) e"""
 
+_DISPLAY = f"""with p as (select * from ({_TARGET_PAGES}) t where rn <= 3), f as (select program_code, arg_min(url, (priority, url)) filter (page_type = 'overview') as a, arg_min(url, (priority, url)) as b from p group by program_code),
+   r as (select program_code, coalesce(program_name_source, a, b) as display_url from ({D.RECORDS}) x left join f using (program_code)), t as (select source_url as display_url, min(page_title) as display_title from ({D.EXTRACTS}) e group by 1)
+   select program_code, display_url, display_title from r left join t using (display_url)"""
+
 #: name -> (query, DuckDB SQL or None)
 REGISTRY: dict[str, tuple[Query, str | None]] = {
     # sources and lines
@@ -206,7 +223,7 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
     "rejection_reasons": (lambda s, d: _follow_up(s, d).groupBy("rejection_reason").agg(F.count("*").alias("n")), None),
     "source_outcomes": (lambda s, d: crawl.follow_up_source_audit(_follow_up(s, d)), None),
     "supplement_crawl": (_supplement, None),
-    "display_page_alignment": (lambda s, d: crawl.display_pages(_records(s, d), _targets(s, d), S.extracts(s, d)), None),
+    "display_page_alignment": (lambda s, d: crawl.display_pages(_records(s, d), _targets(s, d), S.extracts(s, d)), _DISPLAY),
     # evaluation
     "normalize_field_value": (
         lambda s, d: evaluation.with_normalized(evaluation.long_fields(_gold(s, d), "gold"), F.col("field"), normal="value_gold").select("program_code", "field", "normal"),
@@ -214,12 +231,12 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
     ),
     "compare_scalar_fields": (lambda s, d: evaluation.compare_scalars(_records(s, d), _gold(s, d)).select("program_code", "field", "status"), D.scalar_status()),
     "status_histogram": (lambda s, d: evaluation.compare_scalars(_records(s, d), _gold(s, d)).groupBy("status").agg(F.count("*").alias("n")), f"select status, count(*) as n from ({D.scalar_status()}) x group by status"),
-    "compare_keyword_field": (lambda s, d: evaluation.compare_keywords(_records(s, d), _gold(s, d)).select("program_code", "status", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), F.round("f1", 6).alias("f1")), None),
-    "evaluation_summary": (lambda s, d: evaluation.summarize(evaluation.field_results(_records(s, d), _gold(s, d)), _gold(s, d)), None),
-    "benchmark_status": (lambda s, d: evaluation.summarize(evaluation.field_results(_records(s, d), _gold(s, d)), _gold(s, d)).select("program_code", "benchmark_status"), f"select program_code, case when label_status = 'completed' then 'completed' else 'incomplete_gold_label' end as benchmark_status from ({D.GOLD}) g"),
-    "gold_draft": (lambda s, d: evaluation.gold_draft(_targets(s, d), _records(s, d)).withColumn("prerequisite_keywords", F.array_join("prerequisite_keywords", ",")), None),
+    "compare_keyword_field": (lambda s, d: evaluation.compare_keywords(_records(s, d), _gold(s, d)).select("program_code", "status", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), F.round("f1", 6).alias("f1")), D.KEYWORD_SCORES),
+    "evaluation_summary": (_summary, D.summary()),
+    "benchmark_status": (lambda s, d: evaluation.summarize(evaluation.field_results(_records(s, d), _gold(s, d)), _gold(s, d)).select("program_code", "benchmark_status"), f"select program_code, benchmark_status from ({D.summary()}) s"),
+    "gold_draft": (lambda s, d: evaluation.gold_draft(_targets(s, d), _records(s, d)).withColumn("prerequisite_keywords", F.array_join("prerequisite_keywords", ",")), D.GOLD_DRAFT),
     # reports
-    "export_rows": (_exports, None),
+    "export_rows": (_exports, D.EXPORT_ROWS),
     "latest_exports": (
         lambda s, d: reports.latest_exports(_export_table(s, d)).drop("university"),
         f"""{_LATEST} select program_code, coalesce(program_name, '') as program_name, coalesce(deadline, '') as deadline, coalesce(tuition, '') as tuition, coalesce(english_requirement, '') as language_requirement,
@@ -234,7 +251,7 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
         f"""{_LATEST} select string_agg(program_code, ', ' order by program_code) filter (s) as statistics, string_agg(program_code, ', ' order by program_code) filter (p) as programming,
             string_agg(program_code, ', ' order by program_code) filter (p and not m) as cs_leaning, string_agg(program_code, ', ' order by program_code) filter (m) as mathematics from latest""",
     ),
-    "ask_questions": (_ask, None),
+    "ask_questions": (_ask, _ANSWERS),
     # functions
     "parse_currency_amounts": (_money, f"select source_url, list_max({D.amounts('body_text')}) as max_amount, cast(len({D.amounts('body_text')}) as int) as n_amounts from ({D.CAPTURES}) c"),
     "parse_deadline_date": (
