@@ -167,6 +167,30 @@ def english() -> str:
     return best_text(value, f"case when {none} then 0 else {points} + length(value) end", english_line("low"), "english_requirement")
 
 
+def duration() -> str:
+    bare = lambda x: f"regexp_replace({clean(x)}, '(?i)^(?:normative\\s+study\\s+)?duration[:\\-\\s]*', '')"
+    near, wide = squash("concat_ws(' ', b1, line, n1)"), "concat_ws(chr(10), low, lower(near))"
+    modes = ["full-time", "part-time", "full time", "part time"]
+    label = any_of(wide, V.DURATION_LABELS)
+    gate = f"(({label} or ({rx(wide, V.UNITS)} and {any_of(wide, modes)})) and not ({any_of('low', V.DURATION_NOISE)} and not {label}))"
+    cuts = [bare(clean(strip_label("snippet", V.DURATION_LABELS))), bare("near"), *(bare(clean(first("snippet", x))) for x in V.DURATIONS)]
+
+    def value(i: int) -> str:
+        found = clean(first(f"d{i}", V.UNITS + r"(?:\s*\([^)]{1,40}\))?"))
+        return f"case when contains(d{i}, '/') and {any_of(f'lower(d{i})', ['full', 'part'])} then d{i} else coalesce({found}, d{i}) end as e{i}"
+
+    both = "(contains(lower(e0), 'full-time') and contains(lower(e0), 'part-time'))"
+    points = [f"18 + length(e0) + {plus(('contains(e0, chr(47))', 4), (both, 4))}", f"14 + length(e1) + {plus(('is_label', 4), ('is_mode', 3))}"]
+    points += [f"5 + length(e{i}) + {plus((rx(f'e{i}', '^[0-9]'), 3), ('contains(low, ' + q('duration') + ')', 8), (any_of('low', ['full-time', 'part-time']), 4))}" for i in range(2, len(cuts))]
+    fits = [f"e{i} is not null" + (f" and {rx(f'e{i}', '(?i)' + V.UNITS)}" if i < 2 else "") for i in range(len(cuts))]
+    each = " union all ".join(f"select source_url, e{i} as value, {points[i]} as score from e where {fits[i]}" for i in range(len(cuts)))
+    return f"""with {SNIPS}, w as (select source_url, snippet, lower(snippet) as low, {near} as near from snips),
+      d as (select source_url, low, {label} as is_label, {any_of(wide, modes)} as is_mode, {", ".join(f"{x} as d{i}" for i, x in enumerate(cuts))} from w where {gate}),
+      e as materialized (select source_url, low, is_label, is_mode, {", ".join(value(i) for i in range(len(cuts)))} from d), c as ({each}),
+      best as (select source_url, value, row_number() over (partition by source_url order by score desc, length(value) desc, value) as rn from c)
+      select cap.source_url, best.value as duration from cap left join best on best.source_url = cap.source_url and rn = 1"""
+
+
 ACADEMIC_VALUE = sentence(f"coalesce(trim({first(clean(strip_label('snippet', V.ACADEMIC_LABELS)), r'\b(?:Applicants?|Candidates?)\b(?s:.*)')}), {clean(strip_label('snippet', V.ACADEMIC_LABELS))})", academic_line)
 
 
@@ -385,3 +409,15 @@ def summary() -> str:
       select program_code, case when label_status <> 'completed' and required = 0 then 'skipped_due_to_incomplete_gold_label' when label_status <> 'completed' then 'incomplete_gold_label' when required = 0 then 'score_not_meaningful' else 'completed' end as benchmark_status,
         required, covered, matched, populated, {rate("total")} as overall_field_score, {rate("covered")} as field_coverage_rate, {rate("matched")} as exact_match_rate, scored_fields, missing_fields, skipped_fields
       from a join g using (program_code)"""
+
+
+def query_scores(asked: list[str]) -> str:
+    pieces = lambda x: f"regexp_extract_all(lower({x}), '[a-z0-9]+')"
+    stops = "['master', 'science', 'of', 'in', 'for', 'and', 'data', 'driven']"
+    return f"""with q as (select query, {squash("lower(query)")} as nq, list_distinct({pieces("query")}) as qt from (values {", ".join(f"({q(a)})" for a in asked)}) v(query) where {squash("query")} <> ''),
+      p as (select distinct program_code, concat('Master of Science in Data Analytics ', program_code) as program_name from ({EXTRACTS}) e),
+      n as (select *, {pieces("program_name")} as toks from p),
+      a as (select *, coalesce(array_to_string(list_transform(list_filter(toks, lambda t, i: list_position(toks, t) = i and not list_contains({stops}, t)), lambda t: t[1]), ''), '') as short from n),
+      t as (select *, list_distinct(list_concat({pieces("concat_ws(' ', 'UNI', program_code, program_name)")}, {pieces("replace(program_code, '_', ' ')")}, case when short <> '' then [short] else [] end)) as own from a)
+      select query, program_code, cast({plus((f"nq = {squash('lower(program_code)')}", 40), (f"nq = {squash("lower(concat_ws(' ', 'UNI', program_name))")}", 40), ("short <> '' and list_contains(qt, short)", 20), ("list_contains(qt, 'uni')", 20), ("len(qt) > 0 and len(list_intersect(qt, own)) = len(qt)", 12))}
+        + 8 * len(list_intersect(qt, own)) as int) as score from t, q"""

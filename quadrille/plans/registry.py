@@ -129,9 +129,11 @@ def _money(spark, sf_dir):
     return S.captures(spark, sf_dir).select("source_url", F.array_max(T.amounts(F.col("body_text"))).alias("max_amount"), F.size(T.amounts(F.col("body_text"))).alias("n_amounts"))
 
 
+_ASKED = ["UNI", "UNI P1", "p7", "data analytics p10", "nothing here"]
+
+
 def _resolve(spark, sf_dir):
-    asked = ["UNI", "UNI P1", "p7", "data analytics p10", "nothing here"]
-    return targets.query_scores(spark.createDataFrame([(a,) for a in asked], "query string"), _targets(spark, sf_dir))
+    return targets.query_scores(spark.createDataFrame([(a,) for a in _ASKED], "query string"), _targets(spark, sf_dir))
 
 
 _CAPTURE_COLUMNS = "program_code, source_url, page_title, body_text"
@@ -186,7 +188,7 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
     "extract_academic_requirement": (_extracted("academic_requirement"), D.academic()),
     "extract_program_name": (_extracted("program_name"), D.program_name()),
     "extract_department": (_extracted("department"), D.department()),
-    "extract_duration": (_extracted("duration"), None),
+    "extract_duration": (_extracted("duration"), D.duration()),
     "extract_prerequisite_keywords": (lambda s, d: fields.extract_pages(S.captures(s, d)).select("source_url", F.array_join("prerequisite_keywords", ",").alias("keywords")), D.keywords()),
     "foundation_mentions": (lambda s, d: fields.extract_pages(S.captures(s, d)).select("source_url", *programs.FLAGS), D.foundations()),
     "program_records": (_program_records, None),
@@ -217,7 +219,7 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
         f"""with p as (select program_code, url from ({_TARGET_PAGES}) t where rn <= 3) select distinct program_code, field from (
             select program_code, unnest(case when contains(url, '/fees/') then ['tuition'] when contains(url, '/admissions/') then ['deadline', 'academic_requirement'] else ['tuition', 'deadline'] end) as field from p) x""",
     ),
-    "resolve_query": (_resolve, None),
+    "resolve_query": (_resolve, D.query_scores(_ASKED)),
     # exploration
     "follow_up_candidates": (_follow_up, None),
     "rejection_reasons": (lambda s, d: _follow_up(s, d).groupBy("rejection_reason").agg(F.count("*").alias("n")), None),
