@@ -45,4 +45,22 @@ select conv_id, count(*) as n_turns, sha256(string_agg(concat(role, chr(10), tex
    cast(sum(4 + length(replace({_escaped('role')}, '|', '\\p')) + length({_escaped('text')}) + 7) as bigint) as formatted_chars
 from c group by conv_id"""
 
-ORACLE_SQL = {"op2_ngram_jaccard_join": NGRAM_JOIN, "op4_decontamination": DECONTAMINATION, "op6_chat_format": CHAT_FORMAT}
+#: Every step of every order on its own, from the documents' sets of failures; no sums over subsets.
+FILTER_AUDIT = r"""
+with w as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+ lost as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by doc_id),
+ firsts as (select t, min(doc_id) as first from w group by t),
+ f as (select part, [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > first, false)] as fails,
+   coalesce(good, 0) as good, coalesce(toxic, 0) as toxic from w join firsts using (t) left join lost using (doc_id)),
+ m as (select part, fails, count(*) as n, sum(good) as good, sum(toxic) as toxic from f group by part, fails),
+ l as (select unnest([1, 2, 3, 4, 5]) as i),
+ orders as (select [a.i, b.i, c.i, d.i, e.i] as o from l a, l b, l c, l d, l e where len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+ steps as (select o, unnest([1, 2, 3, 4, 5]) as step from orders),
+ x as (select part, array_to_string(list_transform(o, lambda i: 'ABCDE'[i]), '') as filter_order, step, o[step] as own, n, good, toxic, fails[o[step]] as hit, len(list_filter(o[1 : step - 1], lambda i: fails[i])) > 0 as gone,
+   len(list_filter(fails, lambda b: b)) = 1 as alone from m, steps),
+ r as (select part, filter_order, step, own, sum(n) filter (not gone and not hit) as kept, sum(n) filter (not gone and hit) as removed, sum(n) filter (gone and hit) as redundant, sum(n) filter (hit and alone) as unique_fails,
+   sum(good) filter (not gone and hit) as good_lost, sum(toxic) filter (not gone and hit) as toxic_lost from x group by part, filter_order, step, own)
+select part, filter_order, cast(step as int) as step, cast(coalesce(kept, 0) as bigint) as kept, cast(coalesce(removed, 0) as bigint) as removed, cast(coalesce(redundant, 0) as bigint) as redundant, cast(coalesce(unique_fails, 0) as bigint) as unique_fails,
+ cast(coalesce(good_lost, 0) as bigint) as good_lost, cast(coalesce(toxic_lost, 0) as bigint) as toxic_lost, cast(sum(coalesce(removed, 0)) over (partition by part, own) as bigint) as shapley from r"""
+
+ORACLE_SQL = {"op13_filter_audit": FILTER_AUDIT, "op2_ngram_jaccard_join": NGRAM_JOIN, "op4_decontamination": DECONTAMINATION, "op6_chat_format": CHAT_FORMAT}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ._common import table
 from .chat_format import format_chats, loss_texts, message_log, read_back
 from .decontamination import find_contamination
+from .filter_audit import audit_documents
 from .ngram_join import ngram_jaccard_components
 from .oracles import ORACLE_SQL as ORACLE_SQL
 from .paragraph_dedup import repeated_passages
@@ -83,7 +84,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.drop("filter")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_ngram_jaccard_join, op3_url_filters, op4_decontamination, op5_substring_dedup, op6_chat_format, op7_quality_rules, op8_secret_scan, op9_sentencepiece, op10_sharding)
+    for f in (op1_toxicity, op2_ngram_jaccard_join, op3_url_filters, op4_decontamination, op5_substring_dedup, op6_chat_format, op7_quality_rules, op8_secret_scan, op9_sentencepiece, op10_sharding, op13_filter_audit)
 }
