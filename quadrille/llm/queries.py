@@ -16,6 +16,8 @@ from .piece_bpe import encode_pieces
 from .quality import count_features, judge_quality
 from .secret_scan import find_secrets
 from .sharding import shard_documents
+from .slack_packing import pack_documents
+from .spelling_variants import spelling_variants
 from .toxicity import score_toxicity
 from .url_reputation import filter_urls
 
@@ -84,6 +86,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), with_ids=False)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.drop("filter")
@@ -91,5 +101,5 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_ngram_jaccard_join, op3_url_filters, op4_decontamination, op5_substring_dedup, op6_chat_format, op7_quality_rules, op8_secret_scan, op9_sentencepiece, op10_sharding, op13_filter_audit)
+    for f in (op1_toxicity, op2_ngram_jaccard_join, op3_url_filters, op4_decontamination, op5_substring_dedup, op6_chat_format, op7_quality_rules, op8_secret_scan, op9_sentencepiece, op10_sharding, op11_spelling_variants, op12_best_fit_packing, op13_filter_audit)
 }
