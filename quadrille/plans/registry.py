@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as V
-from ..operators import crawl, evaluation, fields, lines, links, programs, reports, targets
+from ..operators import crawl, evaluation, fields, frontier, lines, links, programs, reports, targets
 from ..sources import pages as P
 from ..sources import synthetic as S
 from ..sources.staging import stage
@@ -110,8 +110,8 @@ def _crawl_inputs(spark, sf_dir):
 
 def _supplement(spark, sf_dir):
     seeds, edges, store = _crawl_inputs(spark, sf_dir)
-    _, audit = crawl.supplement_crawl(_targets(spark, sf_dir), seeds, edges.distinct(), store)
-    return audit.select("program_code", "round", "depth", "from_url", "url", "score", "priority", "fetched")
+    _, done = frontier.supplement_crawl(_targets(spark, sf_dir), seeds, edges.distinct(), store)
+    return done.picks.select("program_code", "round", "depth", "from_url", "url", "score", "priority", "fetched")
 
 
 def _follow_up(spark, sf_dir):
