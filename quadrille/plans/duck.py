@@ -253,12 +253,17 @@ LINK_WORDS = f"select *, {plain('anchor_text')} as a, {plain('url')} as u from (
 LINK_SCORES = f"select from_url, pos, anchor_text, url, {link_score('a', 'u')} as score from ({LINK_WORDS}) w"
 
 
-def follow_up_scores(fields: list[str]) -> str:
+def follow_up_score(fields: list[str]) -> str:
+    """Over a and u, the plain words of a link's anchor text and URL."""
     patterns = [*(p for f in fields for p in V.FOLLOW_UP[f]), *V.FOLLOW_UP_SHARED]
     both = "trim(concat(a, ' ', u))"
     found = rx(both, "|".join(f"(?:{p})" for p, _ in patterns))
     score = f"{weighted('a', patterns, 2)} + {weighted('u', patterns)} + least(greatest({link_score('a', 'u')}, 0), 6) - {weighted('a', V.LINK_NEGATIVE, 2)} - {weighted('u', V.LINK_NEGATIVE)}"
-    return f"select from_url, pos, anchor_text, url, case when {found} then {score} else 0 end as score from ({LINK_WORDS}) w"
+    return f"case when {found} then {score} else 0 end"
+
+
+def follow_up_scores(fields: list[str]) -> str:
+    return f"select from_url, pos, anchor_text, url, {follow_up_score(fields)} as score from ({LINK_WORDS}) w"
 
 
 def ranked(scores: str, k: int) -> str:
@@ -308,33 +313,40 @@ def specificity(field: str, v: str) -> str:
     return rules.get(field, f"{w} * 2 + {n}")
 
 
-def candidates() -> str:
+def candidates(hinted: str = HINTED) -> str:
     parts = [
         f"select program_code, source_url, completeness, {q(f)} as field, {f} as value, {hint_score(f)} as hint_score, {eligible(f, f)} as eligible, case when {eligible(f, f)} then {specificity(f, f)} else 0 end as specificity from h"
         for f in V.AGGREGATED_FIELDS
     ]
-    return f"with h as ({HINTED}), c as ({' union all '.join(parts)}) select *, eligible and row_number() over (partition by program_code, field order by eligible desc, case when field = 'program_name' then specificity else hint_score end desc, case when field = 'program_name' then hint_score else specificity end desc, completeness desc, length(value) desc nulls last, source_url, value) = 1 as selected from c"
+    return f"with h as ({hinted}), c as ({' union all '.join(parts)}) select *, eligible and row_number() over (partition by program_code, field order by eligible desc, case when field = 'program_name' then specificity else hint_score end desc, case when field = 'program_name' then hint_score else specificity end desc, completeness desc, length(value) desc nulls last, source_url, value) = 1 as selected from c"
 
 
-def keyword_merge() -> str:
-    return f"""with h as ({HINTED}),
+def keyword_merge(hinted: str = HINTED) -> str:
+    return f"""with h as ({hinted}),
       each as (select program_code, source_url, -{hint_score('prerequisite_keywords')} as hs, -completeness as cs, unnest(prerequisite_keywords) as keyword, generate_subscripts(prerequisite_keywords, 1) as pos from h),
       firsts as (select *, row_number() over (partition by program_code, keyword order by hs, cs, source_url, pos) as rn from each)
       select program_code, string_agg(keyword, ',' order by hs, cs, source_url, pos) as keywords, count(distinct source_url) as n_sources from firsts where rn = 1 group by program_code"""
 
 
-def foundation_merge() -> str:
+def foundation_merge(hinted: str = HINTED) -> str:
     flags = ["foundation_statistics", "foundation_programming", "foundation_mathematics"]
     at = [f"min(case when {f} then {{'h': hs, 'c': cs, 'u': source_url}} end) as s{i}" for i, f in enumerate(flags)]
-    return f"""with h as (select *, -{hint_score('academic_requirement')} as hs, -completeness as cs from ({HINTED}) x),
+    return f"""with h as (select *, -{hint_score('academic_requirement')} as hs, -completeness as cs from ({hinted}) x),
       g as (select program_code, {', '.join(f'bool_or({f}) as {f}' for f in flags)}, {', '.join(at)} from h group by program_code)
       select program_code, {', '.join(flags)}, cast(len(list_distinct(list_filter([s0.u, s1.u, s2.u], lambda x: x is not null))) as int) as n_sources from g"""
 
 
-BEST_PAGE = f"""select program_code, source_url, page_title, completeness from (select *, row_number() over (partition by program_code order by completeness desc, {has('department')} desc, {has('duration')} desc, {has('deadline')} desc,
-   {has('tuition')} desc, {has('english_requirement')} desc, {has('academic_requirement')} desc, len(prerequisite_keywords) desc, {has('program_name')} desc, source_url) as rn from ({HINTED}) h) r where rn = 1"""
+def best_page(hinted: str = HINTED) -> str:
+    return f"""select program_code, source_url, page_title, completeness from (select *, row_number() over (partition by program_code order by completeness desc, {has('department')} desc, {has('duration')} desc, {has('deadline')} desc,
+   {has('tuition')} desc, {has('english_requirement')} desc, {has('academic_requirement')} desc, len(prerequisite_keywords) desc, {has('program_name')} desc, source_url) as rn from ({hinted}) h) r where rn = 1"""
+
 
-CHOSEN = "select program_code, " + ", ".join(f"max(case when field = {q(f)} then value end) as {f}, max(case when field = {q(f)} then source_url end) as {f}_source" for f in V.AGGREGATED_FIELDS) + f" from ({candidates()}) c where selected group by program_code"
+def chosen(hinted: str = HINTED) -> str:
+    fields = ", ".join(f"max(case when field = {q(f)} then value end) as {f}, max(case when field = {q(f)} then source_url end) as {f}_source" for f in V.AGGREGATED_FIELDS)
+    return f"select program_code, {fields} from ({candidates(hinted)}) c where selected group by program_code"
+
+
+BEST_PAGE, CHOSEN = best_page(), chosen()
 
 # ---- evaluation ----
 GOLD = S.gold_sql("duck")
@@ -372,10 +384,14 @@ def scalar_status() -> str:
 
 
 # ---- records, exports, drafts and summaries ----
-KEYWORDS = f"select program_code, string_split(keywords, ',') as prerequisite_keywords from ({keyword_merge()}) k"
-RECORDS = f"""select b.program_code, b.source_url, b.page_title, b.completeness, {", ".join(f"c.{f}, c.{f}_source" for f in V.AGGREGATED_FIELDS)}, coalesce(k.prerequisite_keywords, []) as prerequisite_keywords,
+def records(hinted: str = HINTED) -> str:
+    keywords = f"select program_code, string_split(keywords, ',') as prerequisite_keywords from ({keyword_merge(hinted)}) k"
+    return f"""select b.program_code, b.source_url, b.page_title, b.completeness, {", ".join(f"c.{f}, c.{f}_source" for f in V.AGGREGATED_FIELDS)}, coalesce(k.prerequisite_keywords, []) as prerequisite_keywords,
    m.foundation_statistics, m.foundation_programming, m.foundation_mathematics
-   from ({BEST_PAGE}) b left join ({CHOSEN}) c using (program_code) left join ({KEYWORDS}) k using (program_code) left join ({foundation_merge()}) m using (program_code)"""
+   from ({best_page(hinted)}) b left join ({chosen(hinted)}) c using (program_code) left join ({keywords}) k using (program_code) left join ({foundation_merge(hinted)}) m using (program_code)"""
+
+
+RECORDS = records()
 
 
 def flag_text(c: str) -> str:

@@ -14,6 +14,7 @@ from ..sources import pages as P
 from ..sources import synthetic as S
 from ..sources.staging import stage
 from . import duck as D
+from . import run_queries as R
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -221,10 +222,18 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
     ),
     "resolve_query": (_resolve, D.query_scores(_ASKED)),
     # exploration
-    "follow_up_candidates": (_follow_up, None),
-    "rejection_reasons": (lambda s, d: _follow_up(s, d).groupBy("rejection_reason").agg(F.count("*").alias("n")), None),
-    "source_outcomes": (lambda s, d: crawl.follow_up_source_audit(_follow_up(s, d)), None),
-    "supplement_crawl": (_supplement, None),
+    "follow_up_candidates": (_follow_up, R.FOLLOW_UP_CANDIDATES),
+    "rejection_reasons": (lambda s, d: _follow_up(s, d).groupBy("rejection_reason").agg(F.count("*").alias("n")), R.REJECTION_REASONS),
+    "source_outcomes": (lambda s, d: crawl.follow_up_source_audit(_follow_up(s, d)), R.SOURCE_OUTCOMES),
+    "supplement_crawl": (_supplement, R.SUPPLEMENT_CRAWL),
+    "curated_records": (lambda s, d: R._flat(R.curated(s, d, _targets(s, d)).records, "program_code"), R.CURATED_RECORDS),
+    "curated_rejects": (lambda s, d: R.curated(s, d, _targets(s, d)).rejects, R.CURATED_REJECTS),
+    "curated_outcomes": (lambda s, d: R.curated(s, d, _targets(s, d)).outcomes.withColumns({c: F.array_join(c, ",") for c in ("missing", "updated")}), R.CURATED_OUTCOMES),
+    "follow_up_records": (R.follow_up_records, R.FOLLOW_UP_RECORDS),
+    "follow_up_changes": (R.follow_up_changes, R.FOLLOW_UP_CHANGES),
+    "follow_up_outcomes": (R.follow_up_outcomes, R.FOLLOW_UP_OUTCOMES),
+    "run_candidates": (R.run_candidates, R.RUN_CANDIDATES),
+    "state_records": (R.state_records, R.STATE_RECORDS),
     "display_page_alignment": (lambda s, d: crawl.display_pages(_records(s, d), _targets(s, d), S.extracts(s, d)), _DISPLAY),
     # evaluation
     "normalize_field_value": (
