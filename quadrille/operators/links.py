@@ -28,6 +28,15 @@ def same_site_links(raw: DataFrame) -> DataFrame:
     return links.withColumn("rn", first).where("rn = 1").drop("rn")
 
 
+def page_links(raw: DataFrame, captures: DataFrame) -> DataFrame:
+    """raw anchors and captures (source_url, body_text) -> links: of each page the anchors, then the URLs in its text, each in its order; of equal
+    URLs the first of both. pos counts from 0 over what is kept."""
+    shown = captures.select(F.col("source_url").alias("from_url"), F.posexplode(T.text_urls(F.col("body_text"))).alias("pos", "href"))
+    shown = shown.select("from_url", (F.col("pos") + F.lit(1 << 40)).alias("pos"), "href", F.col("href").alias("text"), F.lit(True).alias("visible"))
+    both = raw.select("from_url", F.col("pos").cast("long").alias("pos"), "href", "text", "visible").unionByName(shown)
+    return same_site_links(both).withColumn("pos", F.row_number().over(W.partitionBy("from_url").orderBy("pos")) - 1)
+
+
 def with_words(links: DataFrame) -> DataFrame:
     """Adds a, u and both: anchor text, URL and the two in plain words."""
     return T.staged(links, {"a": T.plain_words(F.col("anchor_text")), "u": T.plain_words(F.col("url"))}, {"both": F.concat_ws(" ", T.filled(F.col("a")), T.filled(F.col("u")))})

@@ -60,19 +60,39 @@ def derived_signals(rows: DataFrame) -> DataFrame:
     )
 
 
-def comparison_markdown(rows: DataFrame) -> str:
-    """The report: one line for each programme (a report of curated programmes is small) and four derived lines."""
-    columns = ["program_code", "program_name", "deadline", "tuition", "stats_foundation", "programming_foundation", "math_foundation"]
+# The lines of the report.
+COMPARED = ["program_code", "program_name", "deadline", "tuition", "stats_foundation", "programming_foundation", "math_foundation"]
+SIGNALS = [("statistics", "- Programs mentioning statistics foundation: "), ("cs_leaning", "- Programs leaning CS/programming (heuristic): "), ("mathematics", "- Programs mentioning mathematics foundation: ")]
+
+
+def signal_programs(rows: DataFrame) -> DataFrame:
+    """(signal, program_code), a row for each programme that a signal names."""
+    stats, programming, math = (F.col(f"mentions_{k}_foundation") for k in ("statistics", "programming", "math"))
+    named = {"statistics": stats, "programming": programming, "cs_leaning": programming & ~math, "mathematics": math}
+    return rows.select("program_code", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in named.items()]))).alias("signal")).select("signal", "program_code")
+
+
+def comparison_lines(rows: DataFrame) -> DataFrame:
+    """(section, code, line): the report as ordered lines, a header of two, one for each programme, and the derived ones."""
     flag = lambda k: F.initcap(F.col(f"mentions_{k}_foundation").cast("string"))
-    line = F.concat(F.lit("| "), F.concat_ws(" | ", "program_code", "program_name", "deadline", "tuition", flag("statistics"), flag("programming"), flag("math")), F.lit(" |"))
-    lines = [r["line"] for r in rows.select(line.alias("line"), "program_code").orderBy("program_code").toLocalIterator()]
-    s = derived_signals(rows).first()
-    tail = [
-        "", "## Derived Signals", f"- Earliest parsed deadline: {s['earliest_deadline'] or 'not available'}",
-        f"- Programs mentioning statistics foundation: {s['statistics'] or 'none'}", f"- Programs leaning CS/programming (heuristic): {s['cs_leaning'] or 'none'}",
-        f"- Programs mentioning mathematics foundation: {s['mathematics'] or 'none'}",
-    ]
-    return "\n".join(["| " + " | ".join(columns) + " |", "| " + " | ".join(["---"] * len(columns)) + " |", *lines, *tail]) + "\n"
+    cells = F.concat(F.lit("| "), F.concat_ws(" | ", "program_code", "program_name", "deadline", "tuition", flag("statistics"), flag("programming"), flag("math")), F.lit(" |"))
+    body = rows.select(F.lit(2).alias("section"), F.col("program_code").alias("code"), cells.alias("line"))
+    fixed = {0: "| " + " | ".join(COMPARED) + " |", 1: "| " + " | ".join(["---"] * len(COMPARED)) + " |", 3: "", 4: "## Derived Signals"}
+    one = rows.sparkSession.range(1)
+    head = one.select(F.explode(F.create_map(*[F.lit(x) for pair in fixed.items() for x in pair])).alias("section", "line")).select("section", F.lit("").alias("code"), "line")
+    at = parse_deadline(F.col("deadline"))
+    first = rows.agg(F.min(F.when(at.isNotNull(), F.struct(at.alias("d"), "program_code"))).alias("x"))
+    said = F.coalesce(F.concat(F.col("x.d").cast("string"), F.lit(" ("), F.col("x.program_code"), F.lit(")")), F.lit("not available"))
+    earliest = first.select(F.lit(5).alias("section"), F.lit("").alias("code"), F.concat(F.lit("- Earliest parsed deadline: "), said).alias("line"))
+    listed = signal_programs(rows).groupBy("signal").agg(F.array_join(F.array_sort(F.collect_list("program_code")), ", ").alias("codes"))  # a line of the report holds them all
+    names = one.select(F.explode(F.array(*[F.struct(F.lit(6 + i).alias("section"), F.lit(k).alias("signal"), F.lit(text).alias("text")) for i, (k, text) in enumerate(SIGNALS)])).alias("n")).select("n.*")
+    derived = names.join(listed, "signal", "left").select("section", F.lit("").alias("code"), F.concat("text", F.coalesce("codes", F.lit("none"))).alias("line"))
+    return head.unionByName(body).unionByName(earliest).unionByName(derived)
+
+
+def comparison_report(rows: DataFrame) -> DataFrame:
+    """The report's lines (value) as one sorted table; written as text, its part files in the order of their names are the report."""
+    return comparison_lines(rows).orderBy("section", "code").select(F.col("line").alias("value"))
 
 
 def answers(rows: DataFrame, questions: DataFrame) -> DataFrame:

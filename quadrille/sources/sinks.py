@@ -45,3 +45,32 @@ def write_exports(rows: DataFrame, path: str, formats: list[str]) -> list[str]:
         else:
             rows.select(markdown_row(EXPORT_COLUMNS).alias("value")).write.mode("overwrite").text(out)
     return [f"{path}/{k}" for k in formats]
+
+
+def write_batch(rows: DataFrame, path: str, mode: str, batch: str) -> str:
+    """rows as JSON under path/run_mode=<mode>/batch=<batch>. A batch that is written again takes its own place only, so a repeated run leaves
+    the same rows and the batches of other runs stay."""
+    named = rows.drop("run_mode", "batch").withColumns({"run_mode": F.lit(mode), "batch": F.lit(batch)})
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_mode", "batch").json(path)
+    return path
+
+
+def named(rows: DataFrame, *key: str, suffix: Column | None = None) -> DataFrame:
+    """rows with artifact_name: the slug of their first key column, digits that depend on the key only, and a suffix."""
+    parts = [slug(F.col(key[0]).cast("string")), artifact_id(*[F.col(k).cast("string") for k in key]), *([slug(suffix)] if suffix is not None else [])]
+    return rows.withColumn("artifact_name", F.concat(F.concat_ws("-", *parts), F.lit(".json")))
+
+
+def write_run(run, store: DataFrame, path: str, mode: str, batch: str) -> dict[str, str]:
+    """The artifacts of a run: raw captures, processed records, debug reports and rejects -> folder of each."""
+    from ..operators.audit import debug_report
+
+    place = F.concat_ws("-", F.regexp_replace("stage", "_", "-"), F.col("position").cast("string"))
+    pages = run.pages.select(run.key, "position", "stage", "source_url", "page_title").join(store.groupBy("source_url").agg(F.min("body_text").alias("body_text")), "source_url")
+    found = {
+        "raw": named(pages, run.key, "source_url", suffix=place),
+        "processed": named(run.records, run.key),
+        "debug": named(debug_report(run, mode), run.key),
+        "rejects": run.rejects,
+    }
+    return {kind: write_batch(rows, f"{path}/{kind}", mode, batch) for kind, rows in found.items()}

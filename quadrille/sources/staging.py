@@ -12,13 +12,16 @@ _own: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); where it is unset one in the warehouse, which executors share as
-    well. With a local master that one goes when the program ends."""
+    """The cluster's shared folder (spark.checkpoint.dir). Where it is unset one in the warehouse, which goes when a local program ends; on a
+    cluster the warehouse has to be in a shared store, as a local folder is another one on each machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/quadrille-staged"
-    if own not in _own and spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local"):
+        if own.startswith(("file:", "/")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    elif own not in _own:
         _own.add(own)
         atexit.register(shutil.rmtree, own.removeprefix("file:"), ignore_errors=True)
     return own
