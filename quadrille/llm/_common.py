@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import shutil
-import uuid
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-_own: set[str] = set()
+from ..sources.staging import stage as stage
 
 MASK = (1 << 64) - 1
 MIX_A = np.uint64(0x9E3779B97F4A7C15)
@@ -23,27 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); where it is unset one in the warehouse, which executors share as
-    well. With a local master that one goes when the program ends."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/quadrille-staged"
-    if own not in _own and spark.sparkContext.master.startswith("local"):
-        _own.add(own)
-        atexit.register(shutil.rmtree, own.removeprefix("file:"), ignore_errors=True)
-    return own
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once to the shared folder and reads it back: it cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quadrille/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def unstage(df: DataFrame) -> None:
     """Deletes a staged table that nothing reads any more."""
     spark = df.sparkSession
