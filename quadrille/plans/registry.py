@@ -159,13 +159,14 @@ _DISPLAY = f"""with p as (select * from ({_TARGET_PAGES}) t where rn <= 3), f as
 REGISTRY: dict[str, tuple[Query, str | None]] = {
     # sources and lines
     "captures": (lambda s, d: S.captures(s, d), f"select {_CAPTURE_COLUMNS} from ({D.CAPTURES}) c"),
-    "capture_from_html": (lambda s, d: P.captures_from_html(_pages_table(s, d)).select("source_url", "page_title", F.length(T.collapse("body_text")).alias("n_chars")), None),
-    "raw_links": (lambda s, d: P.raw_links(_pages_table(s, d)), None),
+    "capture_from_html": (lambda s, d: P.captures_from_html(_pages_table(s, d)).select("source_url", "page_title", F.length(T.collapse("body_text")).alias("n_chars")), R.CAPTURE_FROM_HTML),
+    "raw_links": (lambda s, d: P.raw_links(_pages_table(s, d)), R.RAW_LINKS),
+    "page_links": (R.page_links, R.PAGE_LINKS),
     "page_lines": (lambda s, d: lines.page_lines(S.captures(s, d)), f"with {D.LINES} select * from lines"),
     "header_flags": (lambda s, d: lines.snippets(S.captures(s, d)).select("source_url", "idx", "is_header"), f"with {D.HEADS} select source_url, idx, is_header from heads"),
     "header_snippets": (lambda s, d: lines.snippets(S.captures(s, d)).select("source_url", "idx", "snippet"), f"with {D.SNIPS} select source_url, idx, snippet from snips"),
     # links
-    "links_resolved_same_scope": (lambda s, d: links.same_site_links(P.raw_links(_pages_table(s, d))), None),
+    "links_resolved_same_scope": (lambda s, d: links.same_site_links(P.raw_links(_pages_table(s, d))), R.SAME_SITE),
     "domain_scope_key": (
         lambda s, d: _urls(s, d).select("page_id", T.scope_key(F.col("url")).alias("scope")),
         "select page_id, array_to_string(list_slice(p, greatest(len(p) - 1, 1), len(p)), '.') as scope from (select page_id, string_split(regexp_replace(lower(regexp_extract(url, '://([^/?#:]*)', 1)), '^www\\.', ''), '.') as p from pages) x",
@@ -192,7 +193,7 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
     "extract_duration": (_extracted("duration"), D.duration()),
     "extract_prerequisite_keywords": (lambda s, d: fields.extract_pages(S.captures(s, d)).select("source_url", F.array_join("prerequisite_keywords", ",").alias("keywords")), D.keywords()),
     "foundation_mentions": (lambda s, d: fields.extract_pages(S.captures(s, d)).select("source_url", *programs.FLAGS), D.foundations()),
-    "program_records": (_program_records, None),
+    "program_records": (_program_records, R.PROGRAM_RECORDS),
     # programmes
     "completeness_score": (lambda s, d: S.extracts(s, d).select("program_code", "source_url", programs.completeness().alias("completeness")), f"select program_code, source_url, completeness from ({D.HINTED}) h"),
     "best_page_per_program": (lambda s, d: programs.best_pages(S.extracts(s, d)), D.BEST_PAGE),
@@ -201,6 +202,7 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
     "field_specificity": (lambda s, d: _field_matrix(s, d).select("program_code", "source_url", "field", "specificity"), f"select program_code, source_url, field, cast(specificity as int) as specificity from ({D.candidates()}) c"),
     "aggregate_scalar_fields": (lambda s, d: _field_matrix(s, d).where("selected").select("program_code", "field", "value"), f"select program_code, field, value from ({D.candidates()}) c where selected"),
     "field_provenance": (lambda s, d: _field_matrix(s, d).where("selected").select("program_code", "field", "source_url"), f"select program_code, field, source_url from ({D.candidates()}) c where selected"),
+    "decision_audit": (R.decision_audit, R.DECISION_AUDIT),
     "merge_prerequisite_keywords": (
         lambda s, d: programs.merged_keywords(_hinted(s, d)).select("program_code", F.array_join("prerequisite_keywords", ",").alias("keywords"), F.size("keyword_sources").cast("long").alias("n_sources")),
         D.keyword_merge(),
@@ -221,6 +223,7 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
             select program_code, unnest(case when contains(url, '/fees/') then ['tuition'] when contains(url, '/admissions/') then ['deadline', 'academic_requirement'] else ['tuition', 'deadline'] end) as field from p) x""",
     ),
     "resolve_query": (_resolve, D.query_scores(_ASKED)),
+    "resolved_targets": (R.resolved_targets, R.RESOLVED_TARGETS),
     # exploration
     "follow_up_candidates": (_follow_up, R.FOLLOW_UP_CANDIDATES),
     "rejection_reasons": (lambda s, d: _follow_up(s, d).groupBy("rejection_reason").agg(F.count("*").alias("n")), R.REJECTION_REASONS),
@@ -262,6 +265,21 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
         f"""{_LATEST} select string_agg(program_code, ', ' order by program_code) filter (s) as statistics, string_agg(program_code, ', ' order by program_code) filter (p) as programming,
             string_agg(program_code, ', ' order by program_code) filter (p and not m) as cs_leaning, string_agg(program_code, ', ' order by program_code) filter (m) as mathematics from latest""",
     ),
+    "signal_programs": (
+        lambda s, d: reports.signal_programs(reports.latest_exports(_export_table(s, d))),
+        f"{_LATEST} select 'statistics' as signal, program_code from latest where s union all select 'programming', program_code from latest where p union all select 'cs_leaning', program_code from latest where p and not m union all select 'mathematics', program_code from latest where m",
+    ),
+    "comparison_report": (
+        lambda s, d: reports.comparison_lines(reports.latest_exports(_export_table(s, d))),
+        f"""{_SIGNALS}
+          select 0 as section, '' as code, '| program_code | program_name | deadline | tuition | stats_foundation | programming_foundation | math_foundation |' as line union all select 1, '', '| --- | --- | --- | --- | --- | --- | --- |'
+          union all select 2, program_code, concat('| ', concat_ws(' | ', program_code, coalesce(program_name, ''), coalesce(deadline, ''), coalesce(tuition, ''), case when s then 'True' else 'False' end, case when p then 'True' else 'False' end, case when m then 'True' else 'False' end), ' |') from dated
+          union all select 3, '', '' union all select 4, '', '## Derived Signals'
+          union all select 5, '', concat('- Earliest parsed deadline: ', coalesce(arg_min(concat(cast(day as varchar), ' (', program_code, ')'), (day, program_code)) filter (day is not null), 'not available')) from dated
+          union all select 6, '', concat('- Programs mentioning statistics foundation: ', coalesce(string_agg(program_code, ', ' order by program_code) filter (s), 'none')) from dated
+          union all select 7, '', concat('- Programs leaning CS/programming (heuristic): ', coalesce(string_agg(program_code, ', ' order by program_code) filter (p and not m), 'none')) from dated
+          union all select 8, '', concat('- Programs mentioning mathematics foundation: ', coalesce(string_agg(program_code, ', ' order by program_code) filter (m), 'none')) from dated""",
+    ),
     "ask_questions": (_ask, _ANSWERS),
     # functions
     "parse_currency_amounts": (_money, f"select source_url, list_max({D.amounts('body_text')}) as max_amount, cast(len({D.amounts('body_text')}) as int) as n_amounts from ({D.CAPTURES}) c"),

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..operators import crawl, programs, record_state, runs
+from ..operators import audit, crawl, links, programs, record_state, runs, targets
 from ..sources import synthetic as S
 from . import duck as D
 
@@ -70,6 +70,27 @@ def state_records(spark, sf_dir):
     return _flat(record_state.records(record_state.merge_states(*[record_state.record_state(pages.where(part == k)) for k in range(3)])), "program_code")
 
 
+def page_links(spark, sf_dir):
+    return links.page_links(S.raw_links(spark, sf_dir), S.captures(spark, sf_dir).select("source_url", "body_text"))
+
+
+def decision_audit(spark, sf_dir):
+    nested = audit.decisions(audit.decision_candidates(S.extracts(spark, sf_dir)))
+    each = nested.select("program_code", "field", "strategy", F.posexplode("candidates").alias("position", "c"))
+    return each.select("program_code", "field", "strategy", "position", "c.source_url", "c.value", "c.hint_score", "c.specificity_score", "c.completeness_score", "c.eligible", "c.selected")
+
+
+ASKED = ["UNI", "UNI P1", "p7", "data analytics p10", "nothing here", "", "the seventh", "UNI master of science in data analytics p22"]
+NAMED = {"the seventh": "P7", "nothing here": "NOT_THERE"}
+
+
+def resolved_targets(spark, sf_dir):
+    """The made queries against one target for each programme."""
+    t = S.extracts(spark, sf_dir).select("program_code").distinct()
+    t = t.select(F.lit("UNI").alias("university"), "program_code", F.concat(F.lit("Master of Science in Data Analytics "), "program_code").alias("program_name"))
+    return targets.resolved_targets(spark.createDataFrame([(a,) for a in ASKED], "query string"), t, NAMED)
+
+
 # ---- DuckDB ----
 _FIELDS = ", ".join([*V.AGGREGATED_FIELDS, "prerequisite_keywords", *programs.FLAGS])
 _FLAT = ", ".join(["source_url", "page_title", "completeness", *V.AGGREGATED_FIELDS, *(f"{f}_source" for f in V.AGGREGATED_FIELDS), "array_to_string(prerequisite_keywords, ',') as keywords", *programs.FLAGS])
@@ -239,3 +260,64 @@ SOURCE_OUTCOMES = f"""select *, case when positive = 0 then 'candidates_found_bu
     when selected > 0 then 'selected_candidates_not_fetched' else 'eligible_candidates_not_selected' end as outcome
   from (select run_id, attempt, from_url, count(*) as candidates, count(*) filter (score > 0) as positive, count(*) filter (eligible) as eligible, count(*) filter (selected) as selected, count(*) filter (fetched) as fetched
     from ({FOLLOW_UP_CANDIDATES}) c group by run_id, attempt, from_url) x"""
+
+
+# ---- parts ----
+PAGE_LINKS = f"""with a as (select from_url, cast(pos as bigint) as place, text as anchor_text, regexp_extract(from_url, '^(https://[^/]*)', 1) as root, trim(href) as href from ({S.raw_links_sql('duck')}) r where visible),
+  known as (select from_url, place, {D.squash('anchor_text')} as anchor_text, case when starts_with(href, '/') then concat(root, regexp_replace(href, '#.*$', '')) when starts_with(href, '../') then concat(root, substr(href, 3)) else href end as url from a where not starts_with(href, '#') and not contains(href, 'example.org')
+    union all select source_url, 1000000 + generate_subscripts(u, 1), unnest(u), unnest(u) from (select source_url, regexp_extract_all(body_text, 'https?://[^\\s)>\\]}}]+') as u from ({D.CAPTURES}) c) z),
+  firsts as (select *, row_number() over (partition by from_url, url order by place) as rn from known)
+  select from_url, cast(row_number() over (partition by from_url order by place) - 1 as int) as pos, anchor_text, url from firsts where rn = 1"""
+
+_ON = "list_filter([case when foundation_statistics then 'statistics' end, case when foundation_programming then 'programming' end, case when foundation_mathematics then 'mathematics' end], lambda x: x is not null)"
+
+
+def _merged_audit(field: str, items: str, hint: str, strategy: str) -> str:
+    return f"""select program_code, '{field}' as field, '{strategy}' as strategy, source_url, array_to_string(items, ', ') as value, hint_score, len(items) as specificity_score, completeness as completeness_score, len(items) > 0 as eligible,
+      source_url in (select u from (select distinct program_code as pc, first_value(source_url) over (partition by program_code, item order by hint_score desc, completeness desc, source_url) as u
+        from (select program_code, source_url, completeness, {D.hint_score(hint)} as hint_score, unnest({items}) as item from h) z) y where y.pc = x.program_code) as selected
+    from (select *, {items} as items, {D.hint_score(hint)} as hint_score from h) x"""
+
+
+DECISION_AUDIT = f"""with h as materialized ({D.HINTED}), c as ({D.candidates()}),
+  whole as (select program_code, field, case when field = 'program_name' then '{audit.BY_NAME}' else '{audit.BY_HINT}' end as strategy, source_url, value, hint_score, specificity as specificity_score, completeness as completeness_score, eligible, selected from c
+    union all {_merged_audit('prerequisite_keywords', 'prerequisite_keywords', 'prerequisite_keywords', audit.STRATEGIES['prerequisite_keywords'])}
+    union all {_merged_audit('foundation_mentions', _ON, 'academic_requirement', audit.STRATEGIES['foundation_mentions'])})
+  select program_code, field, strategy, cast(row_number() over (partition by program_code, field order by selected desc, eligible desc, hint_score desc, source_url) - 1 as int) as position, source_url, value, cast(hint_score as int) as hint_score,
+    cast(specificity_score as int) as specificity_score, cast(completeness_score as int) as completeness_score, eligible, selected from whole"""
+
+RESOLVED_TARGETS = f"""with s as (select * from ({D.query_scores([a for a in ASKED if a and a not in NAMED])}) q), best as (select query, program_code, score from (select *, max(score) over (partition by query) as top from s) z where score = top and score > 0),
+  asked as (select unnest([{', '.join(map(D.q, ASKED))}]) as query),
+  hit as (select query, program_code, cast(score as bigint) as score from best union all select 'the seventh', program_code, null from (select distinct program_code from ({D.EXTRACTS}) e where program_code = 'P7') z),
+  n as (select query, count(*) as n from hit group by query)
+  select query, case when query = '' then 'empty' when n is null then 'no match' when n = 1 then 'resolved' else 'ambiguous' end as outcome, program_code, score from asked left join hit using (query) left join n using (query)"""
+
+# ---- HTML ----
+_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", "\u00a0"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"))
+
+
+def _decoded(x: str) -> str:
+    for name, char in _ENTITIES:
+        x = f"replace({x}, '{name}', '{char}')"
+    return x
+
+
+RAW_LINKS = f"""select from_url, pos, {_decoded("regexp_extract(head, '(?is)\\bhref\\s*=\\s*[\"'']?([^\"''\\s>]*)', 1)")} as href, {_decoded("regexp_replace(a, '(?s)<[^>]*>', '', 'g')")} as text,
+    not regexp_matches(head, '(?i)\\bhidden\\b|display\\s*:\\s*none|visibility\\s*:\\s*hidden') as visible
+  from (select from_url, cast(pos as int) as pos, a, regexp_extract(a, '(?is)^<a\\b([^>]*)>', 1) as head from (select url as from_url, unnest(l) as a, generate_subscripts(l, 1) - 1 as pos from (select url, regexp_extract_all(coalesce(html, ''), '(?is)<a\\b[^>]*>.*?</a\\s*>') as l from pages) x) y) z"""
+SAME_SITE = f"""with r as ({RAW_LINKS}), k as (select from_url, pos, {D.squash('text')} as anchor_text, {D.squash('href')} as href, regexp_extract(from_url, '^(https?://[^/?#]*)', 1) as root from r where visible),
+  u as (select from_url, pos, anchor_text, regexp_replace(case when regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') then href when starts_with(href, '/') then concat(root, href)
+      else concat(case when regexp_replace(from_url, '[?#].*$', '') = root then concat(root, '/') else regexp_extract(regexp_replace(from_url, '[?#].*$', ''), '^(.*/)', 1) end, href) end, '#.*$', '') as url, root
+    from k where href <> '' and not regexp_matches(lower(href), '^(?:#|javascript:|mailto:|tel:)')),
+  s as (select *, regexp_extract(regexp_replace(lower(root), '^https?://(www\\.)?', ''), '([^.:]+\\.[^.:]+)(:[0-9]+)?$', 1) as own, regexp_extract(regexp_replace(lower(regexp_extract(url, '^(https?://[^/?#]*)', 1)), '^https?://(www\\.)?', ''), '([^.:]+\\.[^.:]+)(:[0-9]+)?$', 1) as its from u where regexp_matches(url, '^https?:'))
+  select from_url, pos, anchor_text, url from (select *, row_number() over (partition by from_url, url order by pos) as rn from s where own <> '' and own = its) z where rn = 1"""
+_BODY = r"""regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>', '', 'g'),
+   '(?i)<(?:br|/?(?:p|div|li|ul|ol|h[1-6]|tr|table|section|article|nav|header|footer|title|body))\b[^>]*>', chr(10), 'g'), '(?s)<[^>]*>', '', 'g')""".replace("\\\\", "\\")
+CAPTURE_FROM_HTML = f"""select url as source_url, {D.squash(_decoded("regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title>', 1)"))} as page_title, cast(length({D.squash(_decoded(_BODY))}) as int) as n_chars from pages"""
+
+# ---- records from captures: the extraction of every field, put together ----
+_EXTRACTED = f"""select c.program_code, c.source_url, c.page_title, {', '.join(V.AGGREGATED_FIELDS)}, case when coalesce(keywords, '') = '' then [] else string_split(keywords, ',') end as prerequisite_keywords,
+    {', '.join(f'coalesce({f}, false) as {f}' for f in programs.FLAGS)}
+  from ({D.CAPTURES}) c left join ({D.program_name()}) f1 using (source_url) left join ({D.department()}) f2 using (source_url) left join ({D.duration()}) f3 using (source_url) left join ({D.deadline()}) f4 using (source_url)
+    left join ({D.tuition()}) f5 using (source_url) left join ({D.english()}) f6 using (source_url) left join ({D.academic()}) f7 using (source_url) left join ({D.keywords()}) f8 using (source_url) left join ({D.foundations()}) f9 using (source_url)"""
+PROGRAM_RECORDS = f"with pages as materialized (select *, {D.plain(D.PAGE_TEXT)} as hint, {D.COMPLETE} as completeness from ({_EXTRACTED}) e) select program_code, {_FLAT} from ({D.records('select * from pages')}) r"

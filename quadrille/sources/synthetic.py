@@ -74,6 +74,18 @@ def links_sql(engine: str) -> str:
     from customer join nation on c_nationkey = n_nationkey join part on p_partkey <= 7"""
 
 
+def raw_links_sql(engine: str) -> str:
+    """(from_url, pos, href, text, visible): five anchors for each page, some hidden, elsewhere, or met before."""
+    d = DIALECTS[engine]
+    key = f"cast(k as {d['text']})"
+    return f"""
+    select concat(site, case m4 when 0 then '/overview/' when 1 then '/admissions/' when 2 then '/fees/' else '/english-faq/' end, {key}) as from_url, cast(p_partkey as int) as pos,
+           case cast(p_partkey as int) when 1 then concat('/apply/', {key}) when 2 then case when m7 < 3 then concat(site, '/news.') else '#top' end when 3 then concat('../help/', {key})
+             when 4 then concat('https://other.example.org/', {key}) else concat(' /apply/', {key}, '#again') end as href,
+           concat('Link  ', cast(p_partkey as {d['text']})) as text, not (p_partkey = 3 and m4 = 1) as visible
+    from ({_base(d)}) b join part on p_partkey <= 5"""
+
+
 def gold_sql(engine: str) -> str:
     """(program_code, label_status, scalar fields): labels that differ from the extracts in known ways."""
     d = DIALECTS[engine]
@@ -111,3 +123,7 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, ["orders", "customer", "nation"], gold_sql("spark"))
+
+
+def raw_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir, ["orders", "customer", "nation", "part"], raw_links_sql("spark"))
