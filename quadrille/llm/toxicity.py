@@ -3,10 +3,12 @@
 The kernel of two words sums, over all 3-letter subsequences that span at most SPAN letters, the
 product of their weights DECAY ** span, normalised to 1 for equal words. Non-letters inside a
 word are dropped and look-alike digits read as letters, so that inserted characters and gaps
-cost little; tokens of very many letters are judged in overlapping pieces as well. Nystroem: landmark words are drawn from the labelled training sentences, and words
+cost little; the parts of a token and overlapping windows of its letters are judged as well. Nystroem: landmark words are drawn from the
+labelled training sentences, with perturbed copies of the most toxic ones, and words
 are mapped to K(w, landmarks) K(landmarks, landmarks)^-1/2, where a linear squared-hinge SVM is
 trained. Labels belong to whole texts, so training is multiple-instance: a toxic text is
-represented by its worst word, re-chosen every round; all words of the other texts are negative.
+represented by its worst word, re-chosen every round; all words of the other texts are negative. In the last rounds words with a letter put
+in, left out, doubled or swapped join: copies of the worst words that several texts share as positive, copies of common words as negative.
 Since the kernel has explicit features, the trained landmark expansion folds into one weight for
 each subsequence, with the same values, and scoring costs no kernel evaluations.
 """
@@ -22,7 +24,8 @@ from pyspark.sql import functions as F
 
 SPAN, DECAY = 6, 0.6
 CODES = 32
-LEAST, LONG, WINDOWS = 3, 64, (8, 16, 32)
+COPIED, COPIED_LANDMARKS = 1500, 24  # common words and toxic words with perturbed copies
+LEAST, WINDOWS = 3, (12, 24)
 _LOOKALIKE = str.maketrans("013457@$", "oieastas")
 
 
@@ -37,17 +40,47 @@ def fold(token: str) -> str:
 
 
 def forms(token: str) -> list[str]:
-    """What is judged of a token: its letters; if those are more than LONG, also its parts between
-    non-letters and overlapping windows of its letters, so that a word anywhere in it counts. Nothing of fewer
-    than LEAST letters, the length of a subsequence, is judged, in training and in scoring alike."""
+    """What is judged of a token, whatever its length: its letters, its parts between non-letters, and overlapping windows of its letters, so that
+    a word anywhere in it counts. Nothing of fewer than LEAST letters, the length of a subsequence, is judged, in
+    training and in scoring alike."""
     whole = fold(token)
-    if len(whole) <= LONG:
-        return [whole] if len(whole) >= LEAST else []
-    parts = "".join(c if c.isalpha() else " " for c in token.lower().translate(_LOOKALIKE)).split()
-    windows = [whole[i : i + n] for n in WINDOWS for i in range(0, len(whole) - n // 2, n // 4)]
+    if len(whole) < LEAST:
+        return []
+    windows = [whole[i : i + n] for n in WINDOWS if n < len(whole) for i in range(0, len(whole) - n // 2, n // 4)]
+    if token.isalpha():
+        return [whole, *windows] if windows else [whole]
+    parts = joined("".join(c if c.isalpha() else " " for c in token.lower().translate(_LOOKALIKE)).split())
     return list(dict.fromkeys([whole, *(p for p in parts if len(p) >= LEAST), *windows]))
 
 
+def joined(words: list[str]) -> list[str]:
+    """words and, as one, every run of LEAST and more of a single letter."""
+    out, run = list(words), []
+    for w in (*words, "  "):
+        if len(w) == 1:
+            run.append(w)
+        elif run:
+            if len(run) >= LEAST:
+                out.append("".join(run))
+            run = []
+    return out
+
+
+def perturbed(word: str, glue: list[str]) -> list[str]:
+    """Ways to write a word that a reader still knows: a letter put in, doubled, left out or swapped at every inner place, and other words
+    glued to it. What is put in depends on the word and the place only."""
+    out = []
+    for i in range(1, len(word)):
+        h = hash_of(f"{word}{i}")
+        out += [word[:i] + chr(97 + h % 26) + word[i:], word[:i] + chr(97 + h // 26 % 26) + chr(97 + h // 676 % 26) + word[i:], word[:i] + word[i - 1 :]]
+        if i + 1 < len(word):
+            out.append(word[:i] + word[i + 1] + word[i] + word[i + 2 :])
+            if len(word) > LEAST + 1:
+                out.append(word[:i] + word[i + 1 :])
+    out += [g + word for g in glue] + [word + g for g in glue]
+    return out
+
+
 def _code(c: str) -> int:
     o = ord(c)
     return o - 97 if 97 <= o <= 122 else 26 + o % 4
@@ -135,20 +168,8 @@ class ToxicityModel:
 
 
 def units(text: str | None) -> set[str]:
-    """The words of a text to be judged; runs of 4 and more one-letter words also count joined."""
-    if not text:
-        return set()
-    tokens = text.lower().split()
-    found = set(tokens)
-    run: list[str] = []
-    for t in (*tokens, "  "):
-        if len(t) == 1:
-            run.append(t)
-        elif run:
-            if len(run) >= 4:
-                found.add("".join(run))
-            run = []
-    return found
+    """The words of a text to be judged; runs of one-letter words also count joined."""
+    return set(joined(text.lower().split())) if text else set()
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, rounds: int = 25) -> tuple[np.ndarray, float]:
@@ -184,18 +205,23 @@ def _odds(bad: dict, fine: dict, n1: int, n0: int) -> dict:
     return {w: np.log((k + 0.05) / (n1 + 0.1)) - np.log((fine.get(w, 0) + 0.5) / (n0 + 1)) for w, k in bad.items()}
 
 
-def _instances(members: list[np.ndarray], z1: np.ndarray, z0: np.ndarray, rank: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
-    """Multiple-instance training: each toxic text stands for its worst word by rank, re-chosen every round; all rows of z0 are negative."""
-    for _ in range(rounds):
+def _instances(members: list[np.ndarray], z1: np.ndarray, z0: np.ndarray, rank: np.ndarray, rounds: int, copies=None) -> tuple[np.ndarray, float]:
+    """Multiple-instance training: each toxic text stands for its worst word by rank, re-chosen every round; all rows of z0 are negative.
+    copies: from the worst words that several texts share to further rows, perturbed copies of them (positive) and of other words."""
+    for turn in range(rounds):
         worst = np.array([m[np.argmax(rank[m])] for m in members])
-        x = np.vstack([z1[worst], z0])
-        y = np.r_[np.ones(len(worst)), -np.ones(len(z0))]
-        beta, bias = _svm(x, y, np.r_[np.full(len(worst), 3.0), np.ones(len(z0))])
+        more1 = more0 = z0[:0]
+        if copies and turn + 2 >= rounds:
+            own, times = np.unique(worst, return_counts=True)
+            more1, more0 = copies(own[(times > 1) & (rank[own] > 0)])
+        x = np.vstack([z1[worst], more1, z0, more0])
+        y = np.r_[np.ones(len(worst) + len(more1)), -np.ones(len(z0) + len(more0))]
+        beta, bias = _svm(x, y, np.r_[np.full(len(worst), 3.0), np.full(len(more1), 2.0), np.full(len(z0) + len(more0), 2.0)])
         rank = z1 @ beta + bias
     return beta, bias
 
 
-def train(texts: list[str], labels: list[int], n_landmarks: int = 160, max_negatives: int = 20_000, rounds: int = 4, folds: int = 3) -> ToxicityModel:
+def train(texts: list[str], labels: list[int], n_landmarks: int = 320, max_negatives: int = 20_000, rounds: int = 4, folds: int = 3) -> ToxicityModel:
     """Fits on labelled texts in memory; the caller bounds them. Same texts in the same order, same model.
 
     Negative words are the max_negatives / 2 most frequent ones of the other texts and as many more by hash. Scores are
@@ -216,7 +242,8 @@ def train(texts: list[str], labels: list[int], n_landmarks: int = 160, max_negat
     ranked = sorted((w for w in bad if bad[w] >= 2), key=lambda w: (-odds[w] * bad[w] ** 0.5, w))
     common = sorted(fine, key=lambda w: (-fine[w], w))
     chosen = ranked[: 6 * n_landmarks // 10] + common[: 4 * n_landmarks // 10]
-    landmarks = kernel.dense(list(dict.fromkeys(chosen)))
+    near = [w for v in ranked[:COPIED_LANDMARKS] if v not in fine and len(v) > LEAST for w in perturbed(v, [])[hash_of(v) % 2 :: 2] if w not in fine]
+    landmarks = kernel.dense(list(dict.fromkeys([*chosen, *near])))
     values, vectors = np.linalg.eigh((landmarks @ landmarks.T).astype(float))
     keep = values > 1e-4 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
@@ -228,7 +255,19 @@ def train(texts: list[str], labels: list[int], n_landmarks: int = 160, max_negat
     place, place0 = {w: i for i, w in enumerate(vocabulary)}, {w: i for i, w in enumerate(negatives)}
     members = [np.array([place[w] for w in b]) for b in positives]
     start = lambda counts, found: np.array([found[w] + 0.3 * np.log(counts[w]) if w in counts else -np.inf for w in vocabulary])
-    beta, bias = _instances(members, z1, z0, start(bad, odds), rounds)
+    clean_words = set(fine)
+    glue = [w for w in common if len(w) == 3][:2] + ["s", "er"]
+    twisted = [w for v in common[:COPIED] if len(v) > LEAST for w in perturbed(v, glue)[hash_of(v) % 7 :: 7] if w not in bad]
+    more0 = kernel.against(twisted, landmarks) @ root
+    made: dict[str, np.ndarray] = {}
+
+    def copies(seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        words = [w for s in seeds if vocabulary[s] not in clean_words for w in perturbed(vocabulary[s], glue) if w not in clean_words]
+        if fresh := [w for w in dict.fromkeys(words) if w not in made]:
+            made.update(zip(fresh, kernel.against(fresh, landmarks) @ root))
+        return (np.array([made[w] for w in words]) if words else z0[:0]), more0
+
+    beta, bias = _instances(members, z1, z0, start(bad, odds), rounds, copies)
     weights = landmarks.T.astype(float) @ (root @ beta)
 
     def tops(some, clean, beta, bias):
@@ -247,7 +286,7 @@ def train(texts: list[str], labels: list[int], n_landmarks: int = 160, max_negat
             if not len(known):
                 continue
             odds_k = _odds(bad_k, fine_k, len(rest), len(clean))
-            machine = _instances([m for i, m in enumerate(members) if i % folds != k], z1, z0[np.sort(known)], start(bad_k, odds_k), rounds)
+            machine = _instances([m for i, m in enumerate(members) if i % folds != k], z1, z0[np.sort(known)], start(bad_k, odds_k), rounds, copies)
             got1, got0 = tops(members[k::folds], others[k::folds], *machine)
             top1 += got1
             top0 += got0
