@@ -64,3 +64,19 @@ select part, filter_order, cast(step as int) as step, cast(coalesce(kept, 0) as
  cast(coalesce(good_lost, 0) as bigint) as good_lost, cast(coalesce(toxic_lost, 0) as bigint) as toxic_lost, cast(sum(coalesce(removed, 0)) over (partition by part, own) as bigint) as shapley from r"""
 
 ORACLE_SQL = {"op13_filter_audit": FILTER_AUDIT, "op2_ngram_jaccard_join": NGRAM_JOIN, "op4_decontamination": DECONTAMINATION, "op6_chat_format": CHAT_FORMAT}
+
+#: The checksum byte by byte from its table of 256, and all near pairs listed.
+SPELLING_VARIANTS = f"""
+with recursive t as (select list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: xor(c >> 1, case when c & 1 = 1 then 3988292384 else 0 end)) order by i) as t from range(256) r(i)),
+ runs as (select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[a-zÀ-ÿ]+')) as run from documents),
+ each as (select doc_id, run, count(*) as n from runs group by doc_id, run),
+ bytes as (select run, n, flatten(list_transform(string_split(concat(coalesce(cast(doc_id as varchar), ''), ':', run), ''), lambda c: case when ord(c) < 128 then [cast(ord(c) as bigint)] else [195, ord(c) - 64] end)) as b from each),
+ sums as (select run, n, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) as h from bytes, t),
+ words as (select word, cast(sum(n) as bigint) as n from (select n, case when h % 199 = 0 then concat(substr(run, 1, h % length(run)), substr(run, h % length(run) + 2)) else run end as word from sums) x where length(word) >= 6 group by word having sum(n) >= 5),
+ cut as (select word, i, concat(substr(word, 1, i - 1), substr(word, i + 1)) as s from (select word, unnest(range(1, length(word) + 1)) as i from words) x),
+ close as (select a.word, b.word as other from cut a join cut b on a.s = b.s and a.i = b.i and a.word <> b.word union select a.word, w.word from cut a join words w on w.word = a.s union select w.word, a.word from cut a join words w on w.word = a.s),
+ best as (select c.word, count(*) as n_near, arg_min(struct_pack(other := other, n := o.n), (-o.n, encode(other))) as top from close c join words o on o.word = c.other group by c.word),
+ forms as (select w.word, case when top.n >= 5 * w.n then top.other end as form, w.n, coalesce(n_near, 0) as n_near, case when top.n >= 5 * w.n then top.n end as form_n from words w left join best using (word)),
+ chain as (select word, word as reached, 0 as k from forms union all select c.word, f.form, k + 1 from chain c join forms f on f.word = c.reached where f.form is not null)
+select word, form, arg_max(reached, k) as root, n, n_near, form_n from forms join chain using (word) group by word, form, n, n_near, form_n"""
+ORACLE_SQL["op11_spelling_variants"] = SPELLING_VARIANTS
