@@ -118,14 +118,15 @@ class SubsequenceKernel:
         word, sub, value = self.features(words)
         out = np.zeros((len(words), CODES**3), np.float32)
         out[word, sub] = value
-        return out / np.maximum(1e-9, np.linalg.norm(out, axis=1, keepdims=True))
+        out /= np.maximum(1e-9, np.linalg.norm(out, axis=1, keepdims=True))
+        return out
 
     def against(self, words: list[str], landmarks: np.ndarray) -> np.ndarray:
         """K(words, landmarks); landmarks dense and normalised."""
-        out, columns = np.zeros((len(words), len(landmarks))), np.ascontiguousarray(landmarks.T)
-        for lo in range(0, len(words), 200):  # the gathered rows take 200 * features of a word * landmarks numbers
-            word, sub, value = self.features(words[lo : lo + 200])
-            norm = np.sqrt(np.bincount(word, value**2, minlength=len(words[lo : lo + 200])))
+        out, columns = np.zeros((len(words), len(landmarks)), np.float32), np.ascontiguousarray(landmarks.T)
+        for lo in range(0, len(words), 40):  # the gathered rows take 40 * features of a word * landmarks numbers
+            word, sub, value = self.features(words[lo : lo + 40])
+            norm = np.sqrt(np.bincount(word, value**2, minlength=len(words[lo : lo + 40])))
             rows = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else word
             if len(word):
                 out[lo + word[rows]] = np.add.reduceat(columns[sub] * value[:, None].astype(np.float32), rows) / np.maximum(1e-9, norm[word[rows]])[:, None]
@@ -174,16 +175,22 @@ def units(text: str | None) -> set[str]:
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, rounds: int = 25) -> tuple[np.ndarray, float]:
     """Primal squared-hinge SVM by Newton steps on the active set."""
-    xb = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(xb.shape[1])
-    ridge = np.eye(xb.shape[1])
+    n = x.shape[1] + 1
+    w = np.zeros(n)
+    ridge = np.eye(n)
     ridge[-1, -1] = 1e-6
     for _ in range(rounds):
-        active = y * (xb @ w) < 1
-        if not active.any():
+        active = np.flatnonzero(y * (x @ w[:-1] + w[-1]) < 1)
+        if not len(active):
             break
-        a, wt = xb[active], weight[active] * c
-        new = np.linalg.solve(ridge + (a * wt[:, None]).T @ a, (a * wt[:, None]).T @ y[active])
+        left, right = ridge.copy(), np.zeros(n)
+        for lo in range(0, len(active), 2048):  # some rows at a time, so that x is never copied whole
+            rows = active[lo : lo + 2048]
+            a = np.hstack([x[rows].astype(float), np.ones((len(rows), 1))])
+            scaled = (a * (weight[rows] * c)[:, None]).T
+            left += scaled @ a
+            right += scaled @ y[rows]
+        new = np.linalg.solve(left, right)
         if np.abs(new - w).max() < 1e-6:
             w = new
             break
@@ -221,7 +228,7 @@ def _instances(members: list[np.ndarray], z1: np.ndarray, z0: np.ndarray, rank:
     return beta, bias
 
 
-def train(texts: list[str], labels: list[int], n_landmarks: int = 320, max_negatives: int = 20_000, rounds: int = 4, folds: int = 3) -> ToxicityModel:
+def train(texts: list[str], labels: list[int], n_landmarks: int = 200, max_negatives: int = 20_000, rounds: int = 4, folds: int = 3) -> ToxicityModel:
     """Fits on labelled texts in memory; the caller bounds them. Same texts in the same order, same model.
 
     Negative words are the max_negatives / 2 most frequent ones of the other texts and as many more by hash. Scores are
@@ -242,11 +249,11 @@ def train(texts: list[str], labels: list[int], n_landmarks: int = 320, max_negat
     ranked = sorted((w for w in bad if bad[w] >= 2), key=lambda w: (-odds[w] * bad[w] ** 0.5, w))
     common = sorted(fine, key=lambda w: (-fine[w], w))
     chosen = ranked[: 6 * n_landmarks // 10] + common[: 4 * n_landmarks // 10]
-    near = [w for v in ranked[:COPIED_LANDMARKS] if v not in fine and len(v) > LEAST for w in perturbed(v, [])[hash_of(v) % 2 :: 2] if w not in fine]
+    near = [w for v in ranked[:COPIED_LANDMARKS] if v not in fine and len(v) > LEAST for w in perturbed(v, [])[hash_of(v) % 3 :: 3] if w not in fine]
     landmarks = kernel.dense(list(dict.fromkeys([*chosen, *near])))
     values, vectors = np.linalg.eigh((landmarks @ landmarks.T).astype(float))
     keep = values > 1e-4 * values.max()
-    root = vectors[:, keep] / np.sqrt(values[keep])
+    root = (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)
 
     negatives = common[: max_negatives // 2] + sorted(common[max_negatives // 2 :], key=lambda w: hash_of(w))[: max_negatives // 2]
     z0 = kernel.against(negatives, landmarks) @ root
@@ -268,7 +275,7 @@ def train(texts: list[str], labels: list[int], n_landmarks: int = 320, max_negat
         return (np.array([made[w] for w in words]) if words else z0[:0]), more0
 
     beta, bias = _instances(members, z1, z0, start(bad, odds), rounds, copies)
-    weights = landmarks.T.astype(float) @ (root @ beta)
+    weights = (landmarks.T @ (root @ beta).astype(np.float32)).astype(float)
 
     def tops(some, clean, beta, bias):
         rank, rank0 = z1 @ beta + bias, z0 @ beta + bias
