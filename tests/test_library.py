@@ -157,3 +157,11 @@ def test_empty_tables(spark):
     page = spark.createDataFrame([], "source_url string, page_title string, body_text string")
     assert fields.extract_pages(page).count() == 0
     assert programs.aggregate_programs(program_pages(spark).limit(0)).count() == 0
+
+
+def test_extraction_sorts_no_lines_and_keeps_columns(spark):
+    page = spark.createDataFrame([("P1", "u", "Fees", "Tuition fee: HK$90,000"), ("P2", None, "Fees", "Tuition fee: HK$80,000")], "program_code string, source_url string, page_title string, body_text string")
+    out = fields.extract_pages(page, keep=["program_code"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not any(step in plan for step in ("Sort", "Window", "Join"))  # the memory of a task would grow with its pages
+    assert {r["program_code"]: r["tuition"] for r in out.collect()} == {"P1": "HK$90,000", "P2": "HK$80,000"}
