@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -108,11 +109,28 @@ def plain_words(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
+def needles(pattern: str) -> list[str]:
+    """For each alternative of a pattern the longest run of letters that no match can lack; none where a pattern holds more than letters,
+    word bounds, spaces, optional letters and groups."""
+    bare = re.sub(r"\(\?:[^()]*\)\??|\\b|\\s\+|[a-z]\?", "_", pattern)
+    if not re.fullmatch(r"[a-z _|]+", bare):
+        return []
+    runs = [max(part.split("_"), key=len) for part in bare.split("|")]
+    return runs if all(runs) else []
+
+
+def says(text: Column, patterns: list[str]) -> Column:
+    """Whether one of the patterns is found in text of plain_words. Its letters are looked for first, as that is far cheaper than the pattern."""
+    words = [needles(p) for p in patterns]
+    found = matches(text, patterns)
+    return any_of(text, [w for ws in words for w in ws]) & found if all(words) else found
+
+
 def weighted(text: Column, patterns: list[tuple[str, int]], times: int = 1) -> Column:
-    """Sum of the weights of the patterns found, each counted once."""
+    """Sum of the weights of the patterns found in text of plain_words, each counted once."""
     total = F.lit(0)
     for pattern, weight in patterns:
-        total = total + F.when(text.rlike(pattern), weight * times).otherwise(0)
+        total = total + F.when(says(text, [pattern]), weight * times).otherwise(0)
     return total
 
 

@@ -45,7 +45,7 @@ def with_words(links: DataFrame) -> DataFrame:
 def link_score() -> Column:
     """Over the columns of with_words."""
     a, u, both = F.col("a"), F.col("u"), F.col("both")
-    has = lambda patterns: T.matches(both, patterns)
+    has = lambda patterns: T.says(both, patterns)
     admissions, decision, fees, english, faq = map(has, (V.TOPIC_ADMISSIONS, V.TOPIC_DECISION, V.TOPIC_FEES, V.TOPIC_ENGLISH, V.TOPIC_FAQ))
     topic = admissions | fees | english
     bonus = [(admissions & decision, 3), (fees, 3), (english, 2), (faq & topic, 1), (has([p for p, _ in V.LINK_NEGATIVE]) & ~topic, -2)]
@@ -56,11 +56,11 @@ def link_score() -> Column:
 def with_follow_up_score(links: DataFrame, missing: Column) -> DataFrame:
     """Adds score. missing: array of field names. 0 unless a pattern of a missing field, or of FAQs, is there."""
     a, u, both = F.col("a"), F.col("u"), F.col("both")
-    found = T.matches(both, [p for p, _ in V.FOLLOW_UP_SHARED])
+    found = T.says(both, [p for p, _ in V.FOLLOW_UP_SHARED])
     score = T.weighted(a, V.FOLLOW_UP_SHARED, 2) + T.weighted(u, V.FOLLOW_UP_SHARED)
     parts = {}
     for field, patterns in V.FOLLOW_UP.items():
-        parts[f"w_{field}"] = F.when(F.array_contains(missing, field), F.when(T.matches(both, [p for p, _ in patterns]), T.weighted(a, patterns, 2) + T.weighted(u, patterns)).otherwise(-1)).otherwise(-1)
+        parts[f"w_{field}"] = F.when(F.array_contains(missing, field), F.when(T.says(both, [p for p, _ in patterns]), T.weighted(a, patterns, 2) + T.weighted(u, patterns)).otherwise(-1)).otherwise(-1)
         found = found | (F.col(f"w_{field}") >= 0)
         score = score + F.greatest(F.col(f"w_{field}"), F.lit(0))
     parts["general"] = F.least(F.greatest(link_score(), F.lit(0)), F.lit(6))
@@ -79,9 +79,10 @@ def _ranked(scored: DataFrame, by: str, k: int) -> DataFrame:
 
 
 def rank_links(links: DataFrame, by: str = "from_url", k: int = TOP_LINKS) -> DataFrame:
-    """links with score, rank and selected (the k best with a positive score of each source)."""
-    return _ranked(with_words(links).withColumn("score", link_score()).drop("a", "u", "both"), by, k)
+    """links with score, rank and selected (the k best with a positive score of each source). Links are dealt out before they are
+    scored, as their files may be few; the ranks keep to the same key."""
+    return _ranked(with_words(links.repartition(by)).withColumn("score", link_score()).drop("a", "u", "both"), by, k)
 
 
 def rank_follow_up(links: DataFrame, missing: Column, by: str = "from_url", k: int = TOP_FOLLOW_UP) -> DataFrame:
-    return _ranked(with_follow_up_score(links, missing), by, k)
+    return _ranked(with_follow_up_score(links.repartition(by), missing), by, k)

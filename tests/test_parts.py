@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from quadrille.functions import text as T
 from quadrille.functions import values as V
 from quadrille.operators import audit, links, reports, targets
 from quadrille.sources import sinks, validated
@@ -174,3 +175,19 @@ def test_deadlines_of_a_stream_of_captures(spark, tmp_path):
 def test_link_scores_by_hand(spark, anchor, url, score):
     got = links.rank_links(links_of(spark, {X: [(anchor, url)]})).first()["score"]
     assert isinstance(got, int) and (got == score or anchor == "Admissions")
+
+
+def test_links_are_dealt_out_before_they_are_scored(spark):
+    one = links_of(spark, {X: [("Admissions", "https://x.edu/news")]}).coalesce(1)
+    for scored in (links.rank_links(one), links.rank_follow_up(one, F.array(F.lit("tuition")))):
+        assert "Exchange hashpartitioning(from_url" in scored.select("from_url", "score")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_letters_looked_for_first_change_no_match(spark):
+    tables = [V.LINK_POSITIVE, V.LINK_NEGATIVE, V.FOLLOW_UP_SHARED, *V.FOLLOW_UP.values()]
+    patterns = list(dict.fromkeys(p for t in tables for p, _ in t))
+    assert all(T.needles(p) for p in patterns) and T.needles(r"\b(?:program|programme)\s+fees?\b") == ["fee"] and T.needles(r"\d+ fees") == [] and T.needles(r"a?|fee") == []
+    said = [" ".join(w) for p in patterns for n in T.needles(p) for w in ([n], [n + "s"], ["x" + n], ["program", n + "s"], [n + "r"], ["the", n, "now"])] + ["", "frequently asked questions", "waivers and programme fees", None]
+    df = spark.createDataFrame([(t,) for t in said], "t string").repartition(1)
+    both = df.select(*[F.struct(T.says(F.col("t"), [p]).alias("a"), T.matches(F.col("t"), [p]).alias("b")).alias(f"c{i}") for i, p in enumerate(patterns)], F.struct(T.says(F.col("t"), patterns).alias("a"), T.matches(F.col("t"), patterns).alias("b")).alias("all"))
+    assert all(x["a"] == x["b"] for row in both.collect() for x in row)
