@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -51,22 +50,21 @@ def with_rows(pages: DataFrame, key: str = "source_url", keep: Sequence[str] = (
 
 
 def page_lines(pages: DataFrame, key: str = "source_url") -> DataFrame:
-    """(key, idx, line): normalised lines that are not empty; the title is the first."""
-    text = F.concat(F.coalesce("page_title", F.lit("")), F.lit("\n"), F.coalesce("body_text", F.lit("")))
-    dealt = pages.select(key, text.alias("__text")).repartition(key)  # pages, not lines, are dealt out; windows and aggregates on the key keep to it
-    raw = dealt.select(key, F.posexplode(F.split("__text", T.LINE_SEPARATORS, -1)).alias("pos", "raw"))
-    lines = raw.select(key, "pos", T.normalize(F.col("raw")).alias("line")).where("line != ''")
-    at = F.row_number().over(W.partitionBy(key).orderBy("pos")) - 1
-    return lines.select(key, at.alias("idx"), "line")
+    """(key, idx, line): normalised lines that are not empty; the title is the first. A page without lines has none."""
+    # outer, as explode would make the array a second time, to ask whether it is empty
+    return with_lines(pages, key).select(key, F.posexplode_outer("lines").alias("idx", "line")).where("line is not null")
 
 
 def snippets(pages: DataFrame, key: str = "source_url") -> DataFrame:
     """page_lines with is_header, snippet (a header with up to three lines under it) and the lines around:
-    before2, before1, after1. One exchange on the page key serves all of it."""
-    w = W.partitionBy(key).orderBy("idx")
-    lines = page_lines(pages, key).withColumn("is_header", is_header(F.col("line")))
-    lead = {f"{c}{i}": F.lead(c, i).over(w) for c in ("line", "is_header") for i in (1, 2, 3)}
-    lines = lines.withColumns(lead | {"before1": F.lag("line", 1).over(w), "before2": F.lag("line", 2).over(w)})
+    before2, before1, after1. A page's lines stand beside themselves, moved by some places, so that nothing is sorted and a task holds one page at a time."""
+    flagged = with_lines(pages, key).withColumn("headers", F.transform("lines", is_header))
+    below = lambda c, i: F.slice(c, F.lit(i + 1), F.greatest(F.size(c) - i, F.lit(0)))
+    above = lambda i: F.concat(F.array_repeat(F.lit(None).cast("string"), i), "lines")
+    moved = {"line": F.col("lines"), "is_header": F.col("headers"), "before1": above(1), "before2": above(2)}
+    moved |= {f"{name}{i}": below(c, i) for name, c in (("line", "lines"), ("is_header", "headers")) for i in (1, 2, 3)}
+    zipped = flagged.select(key, F.arrays_zip(*[c.alias(n) for n, c in moved.items()]).alias("rows"))
+    lines = zipped.select(key, F.posexplode_outer("rows").alias("idx", "r")).select(key, "idx", "r.*").where("line is not null")
     second = F.when(~F.col("is_header2"), F.col("line2"))
     third = F.when(~F.col("is_header2") & ~F.col("is_header3"), F.col("line3"))
     joined = T.collapse(F.concat_ws(" ", "line", "line1", second, third))

@@ -165,3 +165,17 @@ def test_extraction_sorts_no_lines_and_keeps_columns(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert not any(step in plan for step in ("Sort", "Window", "Join"))  # the memory of a task would grow with its pages
     assert {r["program_code"]: r["tuition"] for r in out.collect()} == {"P1": "HK$90,000", "P2": "HK$80,000"}
+
+
+def test_lines_of_pages_are_not_sorted(spark):
+    pages = spark.createDataFrame([("a", "Fees:", "HK$1\n\n two\nDates:\nMay"), ("b", None, None), ("c", "", " \n"), ("d", "One", None)], "source_url string, page_title string, body_text string")
+    got = lines.snippets(pages)
+    for df in (got, lines.page_lines(pages)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "Sort" not in plan
+    rows = [tuple(r) for r in got.orderBy("source_url", "idx").collect()]
+    assert rows == [
+        ("a", 0, "Fees:", True, "Fees: HK$1 two", None, None, "HK$1"), ("a", 1, "HK$1", False, "HK$1", "Fees:", None, "two"), ("a", 2, "two", False, "two", "HK$1", "Fees:", "Dates:"),
+        ("a", 3, "Dates:", True, "Dates: May", "two", "HK$1", "May"), ("a", 4, "May", False, "May", "Dates:", "two", None), ("d", 0, "One", False, "One", None, None, None),
+    ]
+    assert [(r["source_url"], r["idx"], r["line"]) for r in lines.page_lines(pages).orderBy("source_url", "idx").collect()] == [r[:3] for r in rows]
