@@ -311,3 +311,22 @@ def test_an_extractor_must_give_all_fields(spark):
     with pytest.raises(TypeError, match="foundation_statistics boolean \\(is string\\)"):
         runs.extract_with(captures, lambda c: read_json(c).withColumn("foundation_statistics", F.lit("x")))
     assert runs.extract_with(captures, lambda c: read_json(c).withColumn("extra", F.lit(1))).columns == list(runs.EXTRACTED)
+
+
+def test_a_programme_that_has_ended_is_not_ranked_again(spark, monkeypatch):
+    """Each round writes the open links of the programmes that still lack something, and every link is in the audit once."""
+    written = []
+    monkeypatch.setattr(frontier, "stage", lambda df, name: written.append((name, kept := df.localCheckpoint())) or kept)
+    base = lambda p: f"https://{p}.edu/"
+    seed = lambda p: {"page_type": "overview", "url": base(p), "priority": 1, "intended_fields": ["deadline", "tuition"]}
+    t = spark.createDataFrame([("U", p, "Master of Things", [seed(p)]) for p in ("A", "B")], "university string, program_code string, program_name string, seed_pages array<struct<page_type:string,url:string,priority:int,intended_fields:array<string>>>")
+    there = {base("A") + "fees": ("Fees", {"deadline": DEADLINE, "tuition": TUITION}), base("B") + "fees": ("Fees", {"tuition": TUITION}), base("B") + "apply": ("Apply", {"deadline": DEADLINE})}
+    links = {base("A"): [("Tuition fees", base("A") + "fees"), ("Apply now", base("A") + "apply"), ("Nothing", base("A") + "x")], base("B"): [("Tuition fees", base("B") + "fees"), ("Apply now", base("B") + "apply")]}
+    store = read_json(store_of(spark, there)).withColumn("url", F.col("source_url"))
+    seeds = t.select("program_code", F.col("seed_pages")[0]["url"].alias("source_url"), F.lit("Home").alias("page_title"))
+    missing = t.select("program_code", F.array(F.lit("deadline"), F.lit("tuition")).alias("missing"))
+    done = frontier.run_supplement(t, seeds, missing, links_of(spark, links), store.select("url"), lambda wanted: wanted.join(store, "url"))
+    assert {(r["program_code"], r["url"]) for r in done.picks.where("fetched").collect()} == {("A", base("A") + "fees"), ("B", base("B") + "fees"), ("B", base("B") + "apply")}
+    ranked = [sorted(r["program_code"] for r in df.collect()) for name, df in written if name == "frontier"][:-1]
+    assert ranked[:2] == [["A", "A", "B", "B"], ["B"]] and not any("A" in r for r in ranked[1:])
+    assert sorted((r["program_code"], r["url"]) for r in done.candidates.collect()) == sorted((u[8], v) for u, ls in links.items() for _, v in ls)
