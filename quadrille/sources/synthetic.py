@@ -9,14 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 DIALECTS = {
-    "spark": {"money": "format_number(cast(floor({}) as bigint), 0)", "day": "date_format({}, 'MMMM d, yyyy')", "iso": "date_format({}, 'yyyy-MM-dd')", "arr": "array({})", "nl": "'\\n'", "text": "string"},
-    "duck": {"money": "format('{{:,}}', cast(floor({}) as bigint))", "day": "strftime({}, '%B %-d, %Y')", "iso": "strftime({}, '%Y-%m-%d')", "arr": "[{}]", "nl": "chr(10)", "text": "varchar"},
+    "spark": {"money": "format_number(cast(floor({}) as bigint), 0)", "day": "date_format({}, 'MMMM d, yyyy')", "iso": "date_format({}, 'yyyy-MM-dd')", "arr": "array({})", "nl": "'\\n'", "text": "string", "hint": "/*+ shuffle_hash(customer) */ "},
+    "duck": {"money": "format('{{:,}}', cast(floor({}) as bigint))", "day": "strftime({}, '%B %-d, %Y')", "iso": "strftime({}, '%Y-%m-%d')", "arr": "[{}]", "nl": "chr(10)", "text": "varchar", "hint": ""},
 }
 
 
 def _base(d: dict) -> str:
+    # Customers are met by hash: a sort join holds the orders of a partition in memory, this one its customers, a tenth as many and each once.
     return f"""
-      select concat('P', cast(o_custkey as {d['text']})) as program_code, o_orderkey as k, cast(o_orderkey % 4 as int) as m4, cast(o_orderkey % 7 as int) as m7,
+      select {d['hint']}concat('P', cast(o_custkey as {d['text']})) as program_code, o_orderkey as k, cast(o_orderkey % 4 as int) as m4, cast(o_orderkey % 7 as int) as m7,
              concat(upper(substr(c_mktsegment, 1, 1)), lower(substr(c_mktsegment, 2))) as seg,
              concat('https://', lower(replace(n_name, '_', '')), '.example.edu') as site,
              {d['money'].format('o_totalprice')} as money, o_totalprice as price, {d['day'].format('o_orderdate')} as day, {d['iso'].format('o_orderdate')} as iso

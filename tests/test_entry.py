@@ -54,3 +54,19 @@ def test_every_programme_is_scored_against_every_question(spark):
     got = registry.REGISTRY["resolve_query"][0](spark, SMALL)
     n = registry.S.extracts(spark, SMALL).select("program_code").distinct().count()
     assert got.distinct().count() == 5 * n and got.where("length(program_code) > 3").count() > 0
+
+
+@pytest.mark.skipif(not Path(SMALL).exists(), reason="no test tables")
+def test_customers_that_are_too_many_to_broadcast_are_met_by_hash(spark):
+    from quadrille.sources import synthetic
+
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        for made in (synthetic.captures, synthetic.extracts, synthetic.gold, synthetic.raw_links):
+            plan = made(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+            # a sort join holds the orders of a partition in a task's memory
+            assert any("ShuffledHashJoin" in line and "o_custkey" in line and "c_custkey" in line for line in plan.splitlines())
+    finally:
+        spark.conf.set(threshold, before)
