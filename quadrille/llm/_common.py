@@ -76,6 +76,26 @@ def shingle_set(words: list[bytes], k: int, cache: WordHash) -> np.ndarray:
     return np.unique(window_hashes(words, k, cache))
 
 
+def shingle_pool(words: list[bytes], sizes: np.ndarray, k: int, cache: WordHash) -> tuple[np.ndarray, np.ndarray]:
+    """(pool, counts): shingle_set of many sequences of at least one word, which follow one another in words, made at once; the sets follow one another too."""
+    ids = np.zeros(len(words) + k, np.uint64)
+    ids[: len(words)] = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+    counts = np.maximum(sizes - k + 1, 1)
+    ends, width = np.cumsum(counts), np.repeat(np.minimum(sizes, k), counts)
+    starts = ends - counts
+    at = np.arange(ends[-1]) + np.repeat(np.cumsum(sizes) - sizes - starts, counts)
+    out, short = ids[at] * MIX_A, bool((sizes < k).any())
+    for j in range(1, k):
+        more = (out ^ (out >> np.uint64(32))) * MIX_A + ids[at + j]
+        out = np.where(width > j, more, out) if short else more
+    out = mix(out + width.astype(np.uint64))
+    for a, b in zip(starts.tolist(), ends.tolist()):
+        out[a:b].sort()
+    keep = np.r_[True, out[1:] != out[:-1]]
+    keep[starts] = True
+    return out[keep], np.add.reduceat(keep.astype(np.int64), starts)
+
+
 def signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
@@ -84,6 +104,14 @@ def set_id(hashes: np.ndarray) -> int:
     return signed(xxhash.xxh3_64_intdigest(hashes.tobytes()))
 
 
+def set_ids(pool: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """set_id of the sets of a pool."""
+    ends = np.cumsum(counts)
+    raw = memoryview(pool.tobytes())
+    found = (xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip((8 * (ends - counts)).tolist(), (8 * ends).tolist()))
+    return np.fromiter(found, np.uint64, len(counts)).view(np.int64)
+
+
 def within(few: DataFrame, bound: int) -> bool:
     """Whether few has at most bound rows: the check before any broadcast of data that could grow."""
     return few.limit(bound + 1).count() <= bound

@@ -45,6 +45,14 @@ def fact_arrays(sets: list[np.ndarray]) -> tuple[list[pa.Array], list[str]]:
     return [pa.array([len(h) for h in sets], pa.int32()), *[pa.array(bits[:, i]) for i in range(4)]], ["n", *BITS]
 
 
+def pool_facts(pool: np.ndarray, counts: np.ndarray) -> tuple[list[pa.Array], list[str]]:
+    """fact_arrays of the sets of a pool, none of them empty."""
+    starts, at = np.cumsum(counts) - counts, (pool >> np.uint64(17)) & np.uint64(255)
+    bit, word = np.uint64(1) << ((at & np.uint64(63)) ^ np.uint64(7)), at >> np.uint64(6)
+    bits = [np.bitwise_xor.reduceat(np.where(word == np.uint64(i), bit, np.uint64(0)), starts).view(np.int64) for i in range(4)]
+    return [pa.array(counts, pa.int32()), *[pa.array(b) for b in bits]], ["n", *BITS]
+
+
 def set_batch(rows: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int64()), pa.array([h.tobytes() for _, h in rows], pa.binary())], names=["cls", "members"])
 

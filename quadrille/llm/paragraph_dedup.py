@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WordHash, set_id, shingle_set, stage, within
-from .linking import BITS, FACTS_SCHEMA, SET_SCHEMA, fact_arrays, link_components, set_batch, shared_signatures
+from ._common import WordHash, set_id, set_ids, shingle_pool, shingle_set, stage, within
+from .linking import BITS, FACTS_SCHEMA, SET_SCHEMA, link_components, pool_facts, set_batch, shared_signatures
 from .word_windows import repeated_windows
 
 BROADCAST_IDS = 1_000_000
@@ -59,15 +59,14 @@ def line_schema(bands: int) -> str:
     return f"doc_id long, line int, at int, n_words int, cls long, {FACTS_SCHEMA}, " + ", ".join(f"{k} long" for k in band_names(bands))
 
 
-def band_keys(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
-    """(sets, bands) MinHash keys of non-empty sets."""
-    seeds, sizes = _seeds(bands * rows), [len(h) for h in sets]
-    if not sets:
+def band_keys(pool: np.ndarray, counts: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """(sets, bands) MinHash keys of the sets of a pool, none of them empty."""
+    if not len(counts):
         return np.empty((0, bands), np.int64)
-    pool, starts = np.concatenate(sets), np.cumsum([0, *sizes[:-1]])
-    out = np.empty((len(sets), bands), np.uint64)
+    seeds, starts = _seeds(bands * rows), np.cumsum(counts) - counts
+    out = np.empty((len(counts), bands), np.uint64)
     for b in range(bands):
-        key = np.full(len(sets), b + 1, np.uint64)
+        key = np.full(len(counts), b + 1, np.uint64)
         for j in range(b * rows, (b + 1) * rows):
             h = pool * seeds[j]
             h ^= h >> np.uint64(32)
@@ -80,41 +79,42 @@ def _lines(k: int, bands: int, rows: int, least: int):
     """One row for each line with a word: doc_id, line number, words before and in it, class and facts of its shingle
     set; band keys where the line has `least` words and its class is new to the task."""
 
-    def told(doc, at, before, n, sets, seen):
-        facts, names = fact_arrays(sets)
-        cls = [set_id(h) for h in sets]
+    def told(doc, at, before, n, words, cache, seen):
+        pool, counts = shingle_pool(words, np.array(n), k, cache)
+        facts, names = pool_facts(pool, counts)
+        cls = set_ids(pool, counts)
         new = []
-        for i, c in enumerate(cls):
-            if n[i] >= least and c not in seen:
+        for i, (c, size) in enumerate(zip(cls.tolist(), n)):
+            if size >= least and c not in seen:
                 seen.add(c)
                 new.append(i)
-        keys, mask = np.zeros((len(sets), bands), np.int64), np.ones(len(sets), bool)
-        keys[new], mask[new] = band_keys([sets[i] for i in new], bands, rows), False
-        columns = [pa.array(doc, pa.int64()), pa.array(at, pa.int32()), pa.array(before, pa.int32()), pa.array(n, pa.int32()), pa.array(cls, pa.int64()), *facts]
+        keys, mask = np.zeros((len(n), bands), np.int64), np.ones(len(n), bool)
+        mask[new] = False
+        keys[new] = band_keys(pool[np.repeat(~mask, counts)], counts[~mask], bands, rows)
+        columns = [pa.array(doc, pa.int64()), pa.array(at, pa.int32()), pa.array(before, pa.int32()), pa.array(n, pa.int32()), pa.array(cls), *facts]
         columns += [pa.array(np.ascontiguousarray(keys[:, b]), pa.int64(), mask=mask) for b in range(bands)]
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "line", "at", "n_words", "cls", *names, *band_names(bands)])
 
     def run(batches):
         cache, seen = WordHash(), set()
         for batch in batches:
-            doc, n, sets, at, before, words_so_far = [], [], [], [], [], 0
+            doc, n, words, at, before = [], [], [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 past = 0
-                for i, words in _line_words(text.as_py()):
+                for i, own in _line_words(text.as_py()):
                     doc.append(doc_id)
                     at.append(i)
                     before.append(past)
-                    n.append(len(words))
-                    past += len(words)
-                    sets.append(shingle_set(words, k, cache))
-                words_so_far += past
-                if words_so_far >= STEP:
+                    n.append(len(own))
+                    past += len(own)
+                    words += own
+                if len(words) >= STEP:
                     if len(seen) >= SEEN:
                         seen.clear()
-                    yield told(doc, at, before, n, sets, seen)
-                    doc, n, sets, at, before, words_so_far = [], [], [], [], [], 0
+                    yield told(doc, at, before, n, words, cache, seen)
+                    doc, n, words, at, before = [], [], [], [], []
             if doc:
-                yield told(doc, at, before, n, sets, seen)
+                yield told(doc, at, before, n, words, cache, seen)
 
     return run
 

@@ -288,6 +288,42 @@ def test_repeated_windows_equal_brute_force_in_blocks_of_any_size(spark, monkeyp
         assert out == want
 
 
+def test_sets_of_lines_are_made_at_once_and_equal_those_of_each_line():
+    import time
+
+    import pyarrow as pa
+
+    from quadrille.llm import _common, linking
+
+    rng, k = random.Random(14), 5
+    words = [w.encode() for w in VOCABULARY]
+    texts = ["\n".join(" ".join(rng.choice(VOCABULARY[:9] if i % 3 else VOCABULARY) for _ in range(rng.choice([0, 1, 4, 5, 6, 30]))) for _ in range(40)) for i in range(200)] + [None, "", " \n ", "a"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    bands, rows = paragraph_dedup.tune_bands(0.8)
+    cache, spent = _common.WordHash(), []
+    for _ in range(3):
+        t = time.process_time()
+        made = pa.Table.from_batches(paragraph_dedup._lines(k, bands, rows, k + 1)([batch])).to_pylist()
+        at = time.process_time()
+        each = [(i, no, w, _common.shingle_set(w, k, cache)) for i, x in enumerate(texts) for no, w in paragraph_dedup._line_words(x)]
+        ids, (facts, names) = [_common.set_id(h) for *_, h in each], linking.fact_arrays([h for *_, h in each])
+        spent.append((at - t, time.process_time() - at))
+    assert [(r["doc_id"], r["line"], r["n_words"], r["cls"]) for r in made] == [(i, no, len(w), c) for (i, no, w, _), c in zip(each, ids)]
+    assert all([r[name] for r in made] == fact.to_pylist() for name, fact in zip(names, facts))
+    assert min(a for a, _ in spent) < min(b for _, b in spent)  # with band keys and columns, yet less than the sets line by line
+    pool, counts = _common.shingle_pool(words, np.array([1, len(words) - 1]), k, cache)
+    assert [x.tolist() for x in np.split(pool, np.cumsum(counts)[:-1])] == [_common.shingle_set(w, k, cache).tolist() for w in (words[:1], words[1:])]
+    seen, keys = set(), {}
+    for r in made:  # keys stand once for each class of at least k + 1 words, and are those of the set alone
+        new = r["n_words"] > k and r["cls"] not in seen
+        assert (r["k0"] is not None) == new
+        if new:
+            seen.add(r["cls"])
+            keys[r["cls"]] = [r[name] for name in paragraph_dedup.band_names(bands)]
+    sets = {c: h for c, (*_, h) in zip(ids, each)}
+    assert all(paragraph_dedup.band_keys(sets[c], np.array([len(sets[c])]), bands, rows)[0].tolist() == v for c, v in keys.items())
+
+
 def test_passages_are_decided_line_by_line(spark):
     rng = random.Random(13)
     new = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(n))
