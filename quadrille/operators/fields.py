@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as V
-from .lines import is_header, with_rows
+from .lines import is_header, page_text, text_rows
 
 FIELDS = ["program_name", "department", "duration", "deadline", "tuition", "english_requirement", "academic_requirement"]
 
@@ -126,7 +126,7 @@ def academic_score(text: Column) -> Column:
 
 
 # ---- the best candidate of a page ----
-# rows: the array of with_rows. Each step is one array, so that a later step refers to a value and not to its expression again.
+# rows: the array of text_rows. Each step is one array, so that a later step refers to a value and not to its expression again.
 def _step(rows: Column, **more) -> Column:
     """The fields of each row that are named (a string) or made (a function of the row)."""
     return F.transform(rows, lambda r: F.struct(*[(r[f] if isinstance(f, str) else f(r)).alias(name) for name, f in more.items()]))
@@ -237,21 +237,32 @@ BEST = {
 FOUNDATION_PARTS = {"statistics": ["statistic", "probabilit"], "programming": ["programming", "python", "coding"], "mathematics": ["math", "calculus", "algebra"]}
 
 
-def extract_pages(pages: DataFrame, key: str = "source_url", keep: Sequence[str] = ()) -> DataFrame:
+def extract_pages(pages: DataFrame, key: str = "source_url", keep: Sequence[str] = (), more: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """One row for each page: the extracted fields, prerequisite_keywords (in list order), foundation flags, and the columns of keep.
 
     Pages without lines have nulls, an empty list and false flags. The page key must be unique; a null key is a page too.
-    All of a page is found on its own row: nothing is sorted or joined, and a task holds one page at a time.
+    What a page says is the same for all pages with its title and text, so each different text is read once, all of it on its own row, and
+    pages meet their text by its SHA-256. Pages stream past the texts; they are not sorted. more: adds columns to the extracted texts.
     """
-    own = [key, "page_title", *keep]
+    told = F.unhex(F.sha2("__text", 256)).alias("__id")
+    shown = pages.select(key, "page_title", *keep, page_text().alias("__text")).select(key, "page_title", *keep, told)
+    texts = pages.select(page_text().alias("__text")).distinct().select(told, "__text")
+    # by number, as texts that are few bytes would be put together in a few tasks
+    dealt = texts.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__id")
+    out = extract_texts(dealt, "__id")
+    return shown.join((more(out) if more else out).hint("shuffle_hash"), "__id").drop("__id")
+
+
+def extract_texts(texts: DataFrame, key: str) -> DataFrame:
+    """texts (key, __text) -> key and the extracted fields."""
     rows = F.col("rows")
     first = lambda k: F.get(F.filter(rows, lambda r: r["lowline"].contains(k)), F.lit(0))["snippet"]
     context = F.concat_ws(" ", *[first(k) for k in V.PREREQUISITE_CONTEXT])
     mentions = lambda k: F.exists(rows, lambda r: T.any_of(r["lowline"], FOUNDATION_PARTS[k]) & r["line"].rlike("(?i)" + V.FOUNDATIONS[k]))
     mentioned = {f"f_{k}": mentions(k) for k in V.FOUNDATIONS}
-    out = with_rows(pages, key, ["page_title", *keep]).select(*own, *[best(rows).alias(f) for f, best in BEST.items()], context.alias("context"), *[c.alias(n) for n, c in mentioned.items()])
+    out = text_rows(texts, key).select(key, *[best(rows).alias(f) for f, best in BEST.items()], context.alias("context"), *[c.alias(n) for n, c in mentioned.items()])
     out = out.withColumn("context", F.concat_ws(" ", T.filled(F.col("context")), "academic_requirement"))
     found = F.array_compact(F.array(*[F.when(F.col("context").rlike("(?i)" + p), k) for k, p in V.PREREQUISITES]))
     out = out.withColumn("prerequisite_keywords", found)
     flags = {f"foundation_{k}": F.col(f"f_{k}") | F.array_join("prerequisite_keywords", " ").rlike("(?i)" + p) for k, p in V.FOUNDATIONS.items()}
-    return out.withColumns(flags).select(key, "page_title", *keep, *FIELDS, "prerequisite_keywords", *flags)
+    return out.withColumns(flags).select(key, *FIELDS, "prerequisite_keywords", *flags)

@@ -17,21 +17,28 @@ def is_header(line: Column) -> Column:
     return line.endswith(":") | lowered.isin(V.HEADER_LABELS) | short
 
 
+def page_text() -> Column:
+    """All that the lines of a page are made of."""
+    return F.concat(F.coalesce("page_title", F.lit("")), F.lit("\n"), F.coalesce("body_text", F.lit("")))
+
+
 def with_lines(pages: DataFrame, key: str = "source_url", keep: Sequence[str] = ()) -> DataFrame:
     """(key, keep, lines): the normalised lines of a page that are not empty, in an array; the title is the first.
 
     Pages, not lines, are dealt out, so that a few large files do not leave machines idle; lines stay with their page, so nothing is sorted.
     """
-    text = F.concat(F.coalesce("page_title", F.lit("")), F.lit("\n"), F.coalesce("body_text", F.lit("")))
-    dealt = pages.select(key, *keep, text.alias("__text")).repartition(key)
+    return _split(pages.select(key, *keep, page_text().alias("__text")).repartition(key), key, keep)
+
+
+def _split(dealt: DataFrame, key: str, keep: Sequence[str]) -> DataFrame:
     lines = F.filter(F.transform(F.split("__text", T.LINE_SEPARATORS, -1), T.normalize), lambda line: line != "")
     return dealt.select(key, *keep, lines.alias("lines"))
 
 
-def with_rows(pages: DataFrame, key: str = "source_url", keep: Sequence[str] = ()) -> DataFrame:
-    """(key, keep, rows): for each line of a page a struct of idx, line, is_header, snippet (a header with up to three lines under it), lowline and low
-    (line and snippet in lower case) and the lines around: before2, before1, after1."""
-    flagged = with_lines(pages, key, keep).withColumn("headers", F.transform("lines", is_header))
+def text_rows(texts: DataFrame, key: str) -> DataFrame:
+    """texts (key, __text) -> (key, rows): for each line of a text a struct of idx, line, is_header, snippet (a header with up to three lines under it), lowline
+    and low (line and snippet in lower case) and the lines around: before2, before1, after1. Texts stay where they are dealt out."""
+    flagged = _split(texts, key, ()).withColumn("headers", F.transform("lines", is_header))
     line, header = lambda i: F.get("lines", i), lambda i: F.get("headers", i)
 
     def row(own: Column, i: Column) -> Column:
@@ -44,9 +51,9 @@ def with_rows(pages: DataFrame, key: str = "source_url", keep: Sequence[str] = (
             line(i - 2).alias("before2"), line(i - 1).alias("before1"), line(i + 1).alias("after1"),
         )
 
-    shown = flagged.select(key, *keep, F.transform("lines", row).alias("rows"))
+    shown = flagged.select(key, F.transform("lines", row).alias("rows"))
     lowered = F.transform("rows", lambda r: r.withField("lowline", F.lower(r["line"])).withField("low", F.lower(r["snippet"])))
-    return shown.select(key, *keep, lowered.alias("rows"))
+    return shown.select(key, lowered.alias("rows"))
 
 
 def page_lines(pages: DataFrame, key: str = "source_url") -> DataFrame:

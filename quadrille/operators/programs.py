@@ -69,13 +69,17 @@ def with_hints(pages: DataFrame, hints: DataFrame | None = None) -> DataFrame:
     return T.staged(pages, {"hint": T.plain_words(default)}, {"completeness": completeness()})
 
 
-def best_pages(pages: DataFrame, by: str = "program_code") -> DataFrame:
-    """The most complete page of each programme: (by, source_url, page_title, completeness)."""
-    order = F.struct(
+def page_order() -> Column:
+    """Smaller is better: the most complete page, then by the fields it has, then its URL."""
+    return F.struct(
         (-completeness()).alias("a"), *[(-has(f).cast("int")).alias(f) for f in ("department", "duration", "deadline", "tuition", "english_requirement", "academic_requirement")],
         (-F.size("prerequisite_keywords")).alias("k"), (-has("program_name").cast("int")).alias("p"), F.col("source_url").alias("u"),
     )
-    best = pages.groupBy(by).agg(F.min_by(F.struct("source_url", "page_title", completeness().alias("completeness")), order).alias("__best"))
+
+
+def best_pages(pages: DataFrame, by: str = "program_code") -> DataFrame:
+    """The most complete page of each programme: (by, source_url, page_title, completeness)."""
+    best = pages.groupBy(by).agg(F.min_by(F.struct("source_url", "page_title", completeness().alias("completeness")), page_order()).alias("__best"))
     return best.select(by, "__best.*")
 
 
@@ -110,15 +114,50 @@ def merged_foundations(pages: DataFrame, by: str = "program_code") -> DataFrame:
     return out.select(by, *FLAGS, sources.alias("foundation_sources"))
 
 
+SPECIAL = {f: f"special_{f}" for f in V.AGGREGATED_FIELDS}
+
+
+def judged(pages: DataFrame) -> DataFrame:
+    """Adds the specificity of each scalar field, null where its value may not be chosen; it depends on the extracted fields alone."""
+    bare = {f: F.col(f"bare_{f}") for f in SPECIAL}
+    special = {name: F.when(eligible(F.lit(f), bare[f]), specificity(F.lit(f), bare[f])) for f, name in SPECIAL.items()}
+    return T.staged(pages, {f"bare_{f}": T.collapse(f) for f in SPECIAL}, special).drop(*[f"bare_{f}" for f in SPECIAL])
+
+
 def aggregate_programs(pages: DataFrame, hints: DataFrame | None = None, by: str = "program_code") -> DataFrame:
-    """pages (by, source_url, page_title, fields) -> one record for each programme, with the source of every field."""
-    pages = with_hints(pages, hints)
-    chosen = field_candidates(pages, by).where("selected")
-    pick = [F.max(F.when(F.col("field") == f, F.col(c))).alias(a) for f in V.AGGREGATED_FIELDS for c, a in (("value", f), ("source_url", f"{f}_source"))]
-    fields = chosen.groupBy(by).agg(*pick)
-    out = best_pages(pages, by).join(fields, by, "left").join(merged_keywords(pages, by), by, "left").join(merged_foundations(pages, by), by, "left")
-    empty = F.array().cast("array<string>")
-    return out.withColumns({"prerequisite_keywords": F.coalesce("prerequisite_keywords", empty), "keyword_sources": F.coalesce("keyword_sources", empty)})
+    """pages (by, source_url, page_title, fields) -> one record for each programme, with the source of every field.
+
+    Pages, judged before or here, are dealt out by programme once and every part of a record is a least candidate, first of the pages of a programme
+    with the same keywords, then of the programme; so keywords are merged over their different lists, however many pages a programme has.
+    """
+    pages = with_hints(pages if set(SPECIAL.values()) <= set(pages.columns) else judged(pages), hints)
+    hinted = {f: f"hint_{f}" for f in [*V.AGGREGATED_FIELDS, "prerequisite_keywords"]}
+    scores = [hint_score(f, F.col("hint")).alias(name) for f, name in hinted.items()]
+    dealt = pages.select(by, "source_url", "page_title", "completeness", *V.AGGREGATED_FIELDS, *SPECIAL.values(), "prerequisite_keywords", *FLAGS, *scores).repartition(by)
+    worst = F.lit(2**31 - 1)
+    done = F.coalesce(-F.col("completeness"), worst)
+
+    def candidate(f: str) -> Column:
+        one, two = (SPECIAL[f], hinted[f]) if f == "program_name" else (hinted[f], SPECIAL[f])
+        made = F.struct((-F.col(one)).alias("a"), (-F.col(two)).alias("b"), done.alias("c"), (-F.length(f)).alias("l"), F.col("source_url").alias("url"), F.col(f).alias("value"))
+        return F.when(F.col(SPECIAL[f]).isNotNull(), made)
+
+    ranked = lambda f: F.struct((-F.col(hinted[f])).alias("h"), (-F.col("completeness")).alias("c"), F.col("source_url").alias("u"))
+    page = F.struct(page_order().alias("o"), F.col("page_title").alias("page_title"), F.col("completeness").alias("completeness"))
+    parts = {"page": page, **{f: candidate(f) for f in V.AGGREGATED_FIELDS}, **{f"s_{f}": F.when(F.col(f), ranked("academic_requirement")) for f in FLAGS}}
+    lists = dealt.groupBy(by, "prerequisite_keywords").agg(*[F.min(c).alias(n) for n, c in parts.items()], *[F.max(f).alias(f) for f in FLAGS], F.min(ranked("prerequisite_keywords")).alias("at"))
+    said = F.array_sort(F.collect_list(F.when(F.size("prerequisite_keywords") > 0, F.struct("at", "prerequisite_keywords"))))
+    out = lists.groupBy(by).agg(*[F.min(n).alias(n) for n in parts], *[F.max(f).alias(f) for f in FLAGS], said.alias("said"))
+    # a list is a source if it holds a keyword that no list before it holds
+    before = lambda i: F.flatten(F.transform(F.slice("said", F.lit(1), i), lambda w: w["prerequisite_keywords"]))
+    new = F.filter("said", lambda w, i: F.size(F.array_except(w["prerequisite_keywords"], before(i))) > 0)
+    sources = F.array_distinct(F.transform(F.array_sort(F.array_compact(F.array(*[F.col(f"s_{f}") for f in FLAGS]))), lambda s: s["u"]))
+    return out.select(
+        by, F.col("page.o.u").alias("source_url"), "page.page_title", "page.completeness",
+        *[c for f in V.AGGREGATED_FIELDS for c in (F.col(f"{f}.value").alias(f), F.col(f"{f}.url").alias(f"{f}_source"))],
+        F.array_distinct(F.flatten(F.transform("said", lambda w: w["prerequisite_keywords"]))).alias("prerequisite_keywords"),
+        F.transform(new, lambda w: w["at"]["u"]).alias("keyword_sources"), *FLAGS, sources.alias("foundation_sources"),
+    )
 
 
 def missing_fields(fields: list[str]) -> Column:

@@ -34,7 +34,7 @@ def _extracted(name: str) -> Query:
 
 def _program_records(spark, sf_dir):
     pages = S.captures(spark, sf_dir)
-    extracted = stage(fields.extract_pages(pages, keep=["program_code"]), "extracted")
+    extracted = fields.extract_pages(pages, keep=["program_code"], more=lambda texts: stage(programs.judged(texts), "texts"))
     out = programs.aggregate_programs(extracted)
     return out.select("program_code", "source_url", "page_title", "completeness", *V.AGGREGATED_FIELDS, *[f"{f}_source" for f in V.AGGREGATED_FIELDS], F.array_join("prerequisite_keywords", ",").alias("keywords"), *programs.FLAGS)
 

@@ -179,3 +179,49 @@ def test_lines_of_pages_are_not_sorted(spark):
         ("a", 3, "Dates:", True, "Dates: May", "two", "HK$1", "May"), ("a", 4, "May", False, "May", "Dates:", "two", None), ("d", 0, "One", False, "One", None, None, None),
     ]
     assert [(r["source_url"], r["idx"], r["line"]) for r in lines.page_lines(pages).orderBy("source_url", "idx").collect()] == [r[:3] for r in rows]
+
+
+def test_pages_with_equal_texts_are_read_once(spark):
+    """Each page keeps its row, a null key as well; null and empty parts are one text."""
+    faq = ("English FAQ", "English requirement: IELTS 6.5 or TOEFL 80 is accepted.")
+    rows = [("a", *faq), ("b", *faq), (None, *faq), ("c", None, None), ("d", "", ""), ("e", "Fees", "Tuition fee: HK$300,000")]
+    pages = spark.createDataFrame(rows, "source_url string, page_title string, body_text string")
+    seen = []
+    got = fields.extract_pages(pages, more=lambda texts: seen.append(texts.count()) or texts.withColumn("n", F.length("tuition"))).collect()
+    assert seen == [3]
+    assert sorted((r["source_url"] or "", r["page_title"], r["english_requirement"], r["tuition"], r["n"]) for r in got) == [
+        ("", faq[0], faq[1].split(": ")[1], None, None), ("a", faq[0], faq[1].split(": ")[1], None, None), ("b", faq[0], faq[1].split(": ")[1], None, None), ("c", None, None, None, None), ("d", "", None, None, None),
+        ("e", "Fees", None, "HK$300,000", len("HK$300,000")),
+    ]
+
+
+def test_records_are_made_with_one_shuffle_and_equal_the_single_rules(spark):
+    import random
+
+    r = random.Random(4)
+    pick = lambda *values: r.choice([None, "", *values])
+    words = ["python", "calculus", "statistics"]
+    rows = [
+        (f"P{r.randrange(9)}", f"https://x.edu/{r.choice(['overview', 'admissions', 'fees'])}/{n}", r.choice(["Programme fee", "Admission requirements", None]), pick("MSc in Art", "Master of Science in Art"), pick("School", "School of Fine Arts"), pick("2 years", "soon"),
+         pick("May 1, 2026", "round 1"), pick("HK$100,000", "HK$200,000", "HK$10"), pick("IELTS 6.5"), pick("A degree."), r.sample(words, r.randrange(4)), r.random() < 0.3, r.random() < 0.3, False)
+        for n in range(90)
+    ]
+    flags = ", ".join(f"{f} boolean" for f in programs.FLAGS)
+    names = "program_name, department, duration, deadline, tuition, english_requirement, academic_requirement".split(", ")
+    pages = spark.createDataFrame(rows, "program_code string, source_url string, page_title string, " + ", ".join(f"{n} string" for n in names) + f", prerequisite_keywords array<string>, {flags}")
+    got = programs.aggregate_programs(pages)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange " in line for line in plan.splitlines()) == 1 and "Join" not in plan
+    hinted = programs.with_hints(pages)
+    best = {(x["program_code"], x["field"]): (x["value"], x["source_url"]) for x in programs.field_candidates(hinted).where("selected").collect()}
+    first = {x["program_code"]: (x["source_url"], x["page_title"], x["completeness"]) for x in programs.best_pages(pages).collect()}
+    merged = {x["program_code"]: (x["prerequisite_keywords"], x["keyword_sources"]) for x in programs.merged_keywords(hinted).collect()}
+    on = {x["program_code"]: tuple(x)[1:] for x in programs.merged_foundations(hinted).collect()}
+    found = got.collect()
+    assert len(found) == len(first) == 9
+    for x in found:
+        code = x["program_code"]
+        assert (x["source_url"], x["page_title"], x["completeness"]) == first[code]
+        assert all((x[n], x[f"{n}_source"]) == best.get((code, n), (None, None)) for n in names)
+        assert (x["prerequisite_keywords"], x["keyword_sources"]) == merged.get(code, ([], []))
+        assert (*(x[f] for f in programs.FLAGS), x["foundation_sources"]) == on[code]
