@@ -330,3 +330,25 @@ def test_a_programme_that_has_ended_is_not_ranked_again(spark, monkeypatch):
     ranked = [sorted(r["program_code"] for r in df.collect()) for name, df in written if name == "frontier"][:-1]
     assert ranked[:2] == [["A", "A", "B", "B"], ["B"]] and not any("A" in r for r in ranked[1:])
     assert sorted((r["program_code"], r["url"]) for r in done.candidates.collect()) == sorted((u[8], v) for u, ls in links.items() for _, v in ls)
+
+
+def test_rounds_do_not_look_up_the_store_again(spark, monkeypatch):
+    """Links are marked with whether their page is there before the first round; a page behind two hops is still fetched, a dead link is not."""
+    plans, real = [], frontier.stage
+    monkeypatch.setattr(frontier, "stage", lambda df, name: plans.append(df._jdf.queryExecution().analyzed().toString()) or real(df, name))
+    targets = spark.createDataFrame([("P", "UNI", "Art", [(X, 1, ["tuition"])])], "program_code string, university string, program_name string, seed_pages array<struct<url:string,priority:int,intended_fields:array<string>>>")
+    store = spark.createDataFrame([(X + "fees", X + "fees", "Fees", None), (X + "fees/more", X + "fees/more", "More", TUITION)], "url string, source_url string, page_title string, tuition string").withColumn("deadline", F.lit(None).cast("string"))
+    done = frontier.run_supplement(
+        targets, spark.createDataFrame([("P", X, "Home")], "program_code string, source_url string, page_title string"), spark.createDataFrame([("P", ["tuition"])], "program_code string, missing array<string>"),
+        links_of(spark, {X: [("Tuition fees", X + "dead/tuition"), ("Fees", X + "fees")], X + "fees": [("Tuition", X + "fees/more")]}), store.select(F.col("url").alias("known_url")).withColumnRenamed("known_url", "url"), lambda wanted: wanted.join(store, "url"),
+    )
+    assert sum("url#" in plan and "known_url" in plan and "known-links" not in plan for plan in plans) == 1
+    assert sorted((r["url"], r["fetched"]) for r in done.picks.collect()) == [(X + "dead/tuition", False), (X + "fees", True), (X + "fees/more", True)]
+
+
+def test_updated_fields_are_the_missing_ones_with_a_new_value(spark):
+    versions = [[("a", None, "x", "t"), ("b", "1", "", "t"), ("c", "1", "2", "t")], [("a", "1", "x", "u"), ("b", "1", "2", "t"), ("c", "3", "", "t"), ("d", "4", "5", "t")]]
+    before, after = (spark.createDataFrame(v, "program_code string, deadline string, tuition string, other string") for v in versions)
+    wanted = spark.createDataFrame([(k, ["tuition", "deadline"]) for k in "abcde"], "program_code string, missing array<string>")
+    got = record_state.updated_fields(before, after, wanted, ("deadline", "tuition"))
+    assert dict(map(tuple, got.collect())) == {"a": ["deadline"], "b": ["tuition"], "c": ["deadline"], "d": ["tuition", "deadline"], "e": []}
